@@ -17,6 +17,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.brown import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
+def op2_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.rangejoin import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.secrets import scan_secrets
 
@@ -53,6 +65,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.winnow import fingerprint_documents
+
+    return fingerprint_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.rollups import corpus_token_counts
 
@@ -60,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secrets, op4_mixing, op5_langid, op6_html, op7_packing, op8_minhash, op10_token_counts]
+    found = [op1_brown, op2_range_join, op3_secrets, op4_mixing, op5_langid, op6_html, op7_packing, op8_minhash, op9_winnow, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
