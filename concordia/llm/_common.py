@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -48,6 +49,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's context cleaner delete shuffle files of plans that nothing refers to any more.
+
+    Loops over large tables call it after each pass: the driver's own collections may be far between.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def uniform_bucket(key, buckets):
     """Range of a uniform 64-bit hash among *buckets* equal ranges (order-preserving in the unsigned hash)."""
     return F.floor(F.shiftrightunsigned(key, 1).cast("double") / F.lit(float(2**63)) * buckets).cast("long")

@@ -33,16 +33,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import ship, stage
+from concordia.llm._common import release, ship, stage
 
-CLASSES, FREQUENT, PASSES = 64, 1 << 15, 6
-CHUNK_TOKENS = 500_000
+CLASSES, FREQUENT, PASSES = 64, 1 << 14, 5
+CHUNK_TOKENS = 2_000_000
+#: Chunks that one task of a counting pass takes: it returns no more cells than a class matrix of FREQUENT words has.
+TASK_CHUNKS = 10
 SHARD_ENTRIES = 2_000_000
 SHARD = "shard long, kind int, chunk long, h binary, x binary, y binary"
 SHARD_NAMES = ["shard", "kind", "chunk", "h", "x", "y"]
 CHUNK = "chunk long, doc_id array<long>, held binary, lens binary, ids binary, vocab binary, count binary"
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Token indices, compressed: most are small."""
+    raw = ids.astype("<u4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def squeezed64(n: np.ndarray) -> bytes:
+    """Counts, as 32-bit numbers where they fit."""
+    fits = not len(n) or n.max() < 1 << 31
+    return b"\4" + n.astype("<i4").tobytes() if fits else b"\10" + n.astype("<i8").tobytes()
+
+
+def unsqueezed64(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[1:], "<i4" if blob[0] == 4 else "<i8").astype(np.int64)
+
+
+def unsqueezed(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), np.uint32)
+
+
 def chunks_of(docs: DataFrame, folds: int, fold: int, size: int = CHUNK_TOKENS) -> DataFrame:
     """Tokenized chunks; ``count`` has each word's occurrences in training documents."""
     ticket = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -63,7 +85,7 @@ def chunks_of(docs: DataFrame, folds: int, fold: int, size: int = CHUNK_TOKENS)
             train = np.repeat(h == 0, l)
             count = np.bincount(flat[train], minlength=len(index)).astype(np.int64)
             vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-            row = [[base + made], [list(docs_)], [h.tobytes()], [l.tobytes()], [flat.tobytes()], [vocab.tobytes()], [count.tobytes()]]
+            row = [[base + made], [list(docs_)], [h.tobytes()], [l.tobytes()], [squeezed(flat)], [vocab.tobytes()], [count.astype(np.int32).tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
             out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
             index.clear()
@@ -115,13 +137,13 @@ def word_counts(chunks: DataFrame, shards: int) -> DataFrame:
     def give(batches):
         for batch in batches:
             for v, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, n = np.frombuffer(v, np.uint64), np.frombuffer(c, np.int64)
+                h, n = np.frombuffer(v, np.uint64), np.frombuffer(c, np.int32)
                 h, n = h[n > 0], n[n > 0]
                 yield packed_rows([(s, 0, 0, h[at].tobytes(), n[at].tobytes(), None) for s, at in shards_of(h, shards)])
 
     def take(table: pa.Table) -> pa.Table:
         h = np.concatenate([_array(x, np.uint64) for x in table.column("h")])
-        n = np.concatenate([_array(x, np.int64) for x in table.column("x")])
+        n = np.concatenate([_array(x, np.int32) for x in table.column("x")]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -137,9 +159,9 @@ def sequences(held: np.ndarray, lens: np.ndarray, c: np.ndarray, start: int, end
     return np.insert(c, ends - lens, start), np.insert(c, ends, end), np.repeat(np.arange(len(lens)), lens + 1)
 
 
-def neighbour_counts(chunks: DataFrame, words: np.ndarray, classes: np.ndarray, k: int, parts: int) -> DataFrame:
-    """One pass over the training tokens.  kind 0: (cell, count) of word x neighbour class by part of *words*
-    (x left, y right neighbours, h cells); kind 1: the class matrix."""
+def neighbour_counts(chunks: DataFrame, rows_: int, words: np.ndarray, classes: np.ndarray, k: int, parts: int) -> DataFrame:
+    """One pass over the training tokens.  kind 0: counts of word x neighbour class for each part of *words* (x left,
+    y right neighbours); kind 1: the class matrix."""
     rare, start, end, wide = k, k + 1, k + 2, k + 3
     order = np.argsort(words)
     by_hash, place = words[order], order
@@ -152,7 +174,7 @@ def neighbour_counts(chunks: DataFrame, words: np.ndarray, classes: np.ndarray,
         for batch in batches:
             for held, lens, ids, vocab in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
                 used = True
-                held, lens, ids, vocab = np.frombuffer(held, np.uint8), np.frombuffer(lens, np.int64), np.frombuffer(ids, np.uint32), np.frombuffer(vocab, np.uint64)
+                held, lens, ids, vocab = np.frombuffer(held, np.uint8), np.frombuffer(lens, np.int64), unsqueezed(ids), np.frombuffer(vocab, np.uint64)
                 at = np.searchsorted(by_hash, vocab)
                 at[at == m] = 0
                 known = by_hash[at] == vocab if m else np.zeros(len(vocab), bool)
@@ -176,10 +198,27 @@ def neighbour_counts(chunks: DataFrame, words: np.ndarray, classes: np.ndarray,
                 l, r = left[a:b], right[a:b]
                 cells = np.flatnonzero(l | r)
                 if len(cells):
-                    rows.append((p, 0, 0, cells.astype(np.int32).tobytes(), l[cells].tobytes(), r[cells].tobytes()))
+                    kind = np.int32 if max(l.max(), r.max()) < 1 << 31 else np.int64
+                    rows.append((p, 0, np.dtype(kind).itemsize, cells.astype(np.int32).tobytes(), l[cells].astype(kind).tobytes(), r[cells].astype(kind).tobytes()))
             yield packed_rows(rows)
 
-    return chunks.select("held", "lens", "ids", "vocab").mapInArrow(run, SHARD)
+    each = -(-len(words) // parts) * wide if len(words) else 1
+
+    def add(table: pa.Table) -> pa.Table:
+        p, what = table.column("shard")[0].as_py(), table.column("kind")[0].as_py()
+        if what:
+            total = sum(_array(x, np.int64) for x in table.column("x"))
+            return pa.Table.from_batches([packed_rows([(p, 1, 0, None, total.tobytes(), None)])])
+        left, right = np.zeros(each, np.int64), np.zeros(each, np.int64)
+        for size, h, x, y in zip(table.column("chunk").to_pylist(), *(table.column(j) for j in ("h", "x", "y")), strict=True):
+            cells, kind = _array(h, np.int32), np.int32 if size == 4 else np.int64
+            left[cells] += _array(x, kind)
+            right[cells] += _array(y, kind)
+        return pa.Table.from_batches([packed_rows([(p, 0, 0, None, left.tobytes(), right.tobytes())])])
+
+    tasks = max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-rows_ // TASK_CHUNKS))
+    found = chunks.select("held", "lens", "ids", "vocab").coalesce(tasks).mapInArrow(run, SHARD)
+    return found.groupBy("shard", "kind").applyInArrow(add, SHARD)
 
 
 def likelihood(n: np.ndarray) -> float:
@@ -211,7 +250,7 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, n: np.nda
     return score.argmax(1)
 
 
-def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
+def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int, rows: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Classes of *words* (commonest first) and the class matrix that goes with them."""
     m, wide = len(words), k + 3
     parts = max(1, m // 2048)
@@ -219,7 +258,7 @@ def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int) -> tuple
     classes = np.where(np.arange(m) < k, np.arange(m), k).astype(np.int64)
     best = None
     for turn in range(passes + 1):
-        counts = stage(neighbour_counts(chunks, words, classes, k, parts), f"exchange-{turn}")
+        counts = stage(neighbour_counts(chunks, rows, words, classes, k, parts), f"exchange-{turn}")
         matrix = sum((np.frombuffer(r["x"], np.int64) for r in counts.where("kind = 1").select("x").toLocalIterator()), np.zeros(wide * wide, np.int64)).reshape(wide, wide)
         settled = bool((classes < k).all())
         value = likelihood(matrix)
@@ -234,7 +273,7 @@ def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int) -> tuple
         got = moved.toArrow()  # at most FREQUENT rows
         classes = classes.copy()
         classes[got.column("f").to_numpy()] = got.column("c").to_numpy()
-        classes[classes == k] = 0  # words that training documents lost: none
+        release(chunks.sparkSession)
     if best is None:
         best = (0.0, np.minimum(classes, k - 1), matrix)
     return best[1], best[2]
@@ -246,11 +285,7 @@ def _mover(matrix: np.ndarray, classes: np.ndarray, k: int, each: int, turn: int
     def move(table: pa.Table) -> pa.Table:
         p = table.column("shard")[0].as_py()
         own = classes[p * each : (p + 1) * each]
-        left, right = np.zeros(len(own) * wide), np.zeros(len(own) * wide)
-        for h, x, y in zip(*(table.column(j) for j in ("h", "x", "y")), strict=True):
-            cells = _array(h, np.int32)
-            left[cells] += _array(x, np.int64)
-            right[cells] += _array(y, np.int64)
+        left, right = (_array(table.column(j)[0], np.int64)[: len(own) * wide].astype(float) for j in ("x", "y"))
         new = best_classes(left.reshape(-1, wide), right.reshape(-1, wide), own, matrix, k)
         f = np.arange(p * each, p * each + len(own))
         moves = (own == k) | (mixed_bit(f, turn) == 1)
@@ -264,6 +299,11 @@ def mixed_bit(f: np.ndarray, turn: int) -> np.ndarray:
     return (h >> np.uint64(40) & np.uint64(1)).astype(np.int64)
 
 
+def runs(times: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of *times*, one after the other."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
 def lexicon(chunks: DataFrame, counts: DataFrame, words: np.ndarray, classes: np.ndarray, matrix: np.ndarray, k: int, shards: int) -> DataFrame:
     """Rows of *counts* with a class for every word: y of kind 0."""
     rare, start, end = k, k + 1, k + 2
@@ -279,16 +319,25 @@ def lexicon(chunks: DataFrame, counts: DataFrame, words: np.ndarray, classes: np
     def give(batches):
         for batch in batches:
             for held, lens, ids, vocab in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-                held, lens, ids, vocab = np.frombuffer(held, np.uint8), np.frombuffer(lens, np.int64), np.frombuffer(ids, np.uint32), np.frombuffer(vocab, np.uint64)
+                held, lens, ids, vocab = np.frombuffer(held, np.uint8), np.frombuffer(lens, np.int64), unsqueezed(ids), np.frombuffer(vocab, np.uint64)
                 c = classed(vocab)[ids]
                 hist, tgt, owner = sequences(held, lens, c, start, end)
                 inner = tgt != end
                 prev, nxt = hist[inner], np.r_[tgt[1:], end][inner]
                 ok = (c == rare) & (held[owner] == 0)[inner]
-                h, prev, nxt = vocab[ids[ok]], prev[ok].astype(np.uint8), nxt[ok].astype(np.uint8)
-                rows = [(s, 1, 0, h[at].tobytes(), prev[at].tobytes(), nxt[at].tobytes()) for s, at in shards_of(h, shards)]
-                if rows:
-                    yield packed_rows(rows)
+                if not ok.any():
+                    continue
+                # every distinct word once, with its number of occurrences and then their neighbours
+                order_ = np.argsort(ids[ok], kind="stable")
+                own, prev, nxt = ids[ok][order_], prev[ok][order_].astype(np.uint8), nxt[ok][order_].astype(np.uint8)
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                times = np.diff(np.r_[first, len(own)])
+                h = vocab[own[first]]
+                rows = []
+                for s, at in shards_of(h, shards):
+                    each = np.repeat(first[at], times[at]) + runs(times[at])
+                    rows.append((s, 1, 0, h[at].tobytes(), times[at].astype(np.int32).tobytes(), prev[each].tobytes() + nxt[each].tobytes()))
+                yield packed_rows(rows)
 
     def take(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
@@ -298,9 +347,10 @@ def lexicon(chunks: DataFrame, counts: DataFrame, words: np.ndarray, classes: np
             if what == 0:
                 h, n = _array(table.column("h")[i], np.uint64), _array(table.column("x")[i], np.int64)
             else:
-                own.append(_array(table.column("h")[i], np.uint64))
-                prev.append(_array(table.column("x")[i], np.uint8))
-                nxt.append(_array(table.column("y")[i], np.uint8))
+                both = _array(table.column("y")[i], np.uint8)
+                own.append(np.repeat(_array(table.column("h")[i], np.uint64), _array(table.column("x")[i], np.int32)))
+                prev.append(both[: len(both) // 2])
+                nxt.append(both[len(both) // 2 :])
         c = classed(h)
         if own:
             own, prev, nxt = np.concatenate(own), np.concatenate(prev), np.concatenate(nxt)
@@ -352,9 +402,9 @@ def looked_up(chunks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
                 at = np.searchsorted(h, q)
                 at[at == len(h)] = 0
                 ok = h[at] == q if len(h) else np.zeros(len(q), bool)
-                nq = np.where(ok, n[at], 0) if len(h) else np.zeros(len(q), np.int64)
+                nq = (np.where(ok, n[at], 0) if len(h) else np.zeros(len(q))).astype(np.int64)
                 cq = np.where(ok, c[at], 0).astype(np.uint8) if len(h) else np.zeros(len(q), np.uint8)
-                rows.append((0, 3, table.column("chunk")[i].as_py(), table.column("x")[i].as_py(), nq.tobytes(), cq.tobytes()))
+                rows.append((0, 3, table.column("chunk")[i].as_py(), table.column("x")[i].as_py(), squeezed64(nq), cq.tobytes()))
         return pa.Table.from_batches([packed_rows(rows)])
 
     asked = chunks.select("chunk", "vocab").mapInArrow(ask, SHARD)
@@ -373,12 +423,12 @@ def classed_chunks(chunks: DataFrame, answers: DataFrame, class_sums: np.ndarray
     def run(table: pa.Table) -> pa.Table:
         whole = next(i for i, x in enumerate(table.column("ids")) if x.is_valid)
         held, lens = _array(table.column("held")[whole], np.uint8), _array(table.column("lens")[whole], np.int64)
-        ids, size = _array(table.column("ids")[whole], np.uint32), len(_array(table.column("vocab")[whole], np.uint64))
+        ids, size = unsqueezed(table.column("ids")[whole].as_py()), table.column("words")[whole].as_py()
         n, c = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for i in range(table.num_rows):
             if i != whole:
                 at = _array(table.column("h")[i], np.int32)
-                n[at] = _array(table.column("x")[i], np.int64)
+                n[at] = unsqueezed64(table.column("x")[i].as_py())
                 c[at] = _array(table.column("y")[i], np.uint8)
         c[n == 0] = unseen
         base = np.log10((n + 1) / bottom)
@@ -412,8 +462,8 @@ def classed_chunks(chunks: DataFrame, answers: DataFrame, class_sums: np.ndarray
         )
 
     none = lambda t: F.lit(None).cast(t)
-    left = chunks.select("chunk", "doc_id", "held", "lens", "ids", "vocab", none("binary").alias("h"), none("binary").alias("x"), none("binary").alias("y"))
-    right = answers.select("chunk", none("array<long>").alias("doc_id"), *[none("binary").alias(x) for x in ("held", "lens", "ids", "vocab")], "h", "x", "y")
+    left = chunks.select("chunk", "doc_id", "held", "lens", "ids", (F.length("vocab") / 8).cast("long").alias("words"), none("binary").alias("h"), none("binary").alias("x"), none("binary").alias("y"))
+    right = answers.select("chunk", none("array<long>").alias("doc_id"), *[none("binary").alias(x) for x in ("held", "lens", "ids")], none("long").alias("words"), "h", "x", "y")
     return left.unionByName(right).groupBy("chunk").applyInArrow(run, CLASSED)
 
 
@@ -467,7 +517,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLA
     types, tokens = int(t["types"] or 0) + (docs_ > 0), int(t["tokens"] or 0) + docs_
     top = facts.where("kind = 1").orderBy(F.desc("n"), "h").limit(frequent).select("h").toArrow()  # at most FREQUENT rows
     words = top.column("h").to_numpy().view(np.uint64)
-    classes, matrix = exchange(chunks, words, k, passes)
+    classes, matrix = exchange(chunks, words, k, passes, sizes["chunks"])
     lex = stage(lexicon(chunks, counts, words, classes, matrix, k, shards), "lexicon")
 
     def sums(batches):
@@ -479,6 +529,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLA
     class_sums = np.zeros(k)
     for row in lex.select("x", "y").mapInArrow(sums, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # a row per class
         class_sums[row["c"]] = row["n"]
+    release(docs.sparkSession)
     answers = looked_up(chunks, lex, shards)
     ready = stage(classed_chunks(chunks, answers, class_sums, tokens, types, docs_, k), "classed")
 

@@ -170,6 +170,8 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     vectors = flat.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("art", "times")).alias("vector")
     )
+    # most tokens are a page's own text: they end here, before tokens are dealt by host
+    vectors = vectors.where(F.col("support") >= LEAST_SHARE * LEAST_PAGES)
     total = flat.select("host", "art").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
     # tokens held by most articles are at most 1 / LEAST_SHARE times as many as an article has on average
     held = vectors.join(total, "host").where((F.col("support") >= LEAST_SHARE * F.col("articles")) & (F.col("articles") >= LEAST_PAGES))

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from concordia.llm._common import ship
 
 SIZES = (3, 4)
+#: Texts are worked on in parts of about so many characters: arrays of a part fit a worker's cache and memory.
+PART_CHARS = 400_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -120,7 +122,7 @@ def fit_filters(
                 at = 0
                 while at < len(own):  # bounded working set, however long the texts
                     part, size = [], 0
-                    while at < len(own) and (not part or size < 4_000_000):
+                    while at < len(own) and (not part or size < PART_CHARS):
                         size += len(own[at])
                         part.append(own[at])
                         at += 1
@@ -180,7 +182,7 @@ def predict(filters: Filters, texts: list[str | None]) -> tuple[list[str], list[
     return names, [s if x != "und" else 0.0 for s, x in zip(score.tolist(), names, strict=True)]
 
 
-def _in_parts(filters: Filters, texts: list[str | None], most: int = 4_000_000) -> tuple[list[str], list[float]]:
+def _in_parts(filters: Filters, texts: list[str | None], most: int = PART_CHARS) -> tuple[list[str], list[float]]:
     names, scores, part, size = [], [], [], 0
     for t in [*texts, None]:
         if part and size + len(t or "") > most:
