@@ -11,10 +11,10 @@ No vocabulary is ever broadcast; what travels to all tasks is the class matrix a
 
 Clustering: the ``frequent`` commonest words of the training texts exchange classes in passes over all training
 tokens.  The commonest words start as classes of their own (as in Brown et al. 1992); each pass counts
-every word's neighbours' classes, and moves each word to the class that gains most log-likelihood, all other
-words fixed (the parallel exchange of Uszkoreit and Brants 2008), half of the words at a time; a
-pass that loses likelihood ends the exchange with the classes before it.  All other words of the training texts
-then choose their class in the same way, once, from all their occurrences.
+every word's neighbours' classes over the corpus, and then moves word after word to the class that gains most
+log-likelihood (Kneser and Ney 1993), each move seen by the words after it; a pass that loses
+likelihood ends the exchange with the classes before it.  All other words of the training texts then choose their
+class once, from all their occurrences, all other words fixed.
 
 Smoothing: class transitions are shrunk to class frequencies; a word not seen in training is a class by itself,
 whose probability after a class is the Good-Turing share of words seen once there.  Over the training
@@ -235,19 +235,27 @@ def class_logs(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return right, left
 
 
-def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Best class of each word (rows of neighbour counts), all other words fixed; its own counts are taken out
-    of its class first."""
-    r, l = class_logs(n.astype(float))
-    score = right @ r[:, :k] + left @ l[:, :k]
-    at = np.flatnonzero(own < k)
-    for i in range(0, len(at), 512):
-        w = at[i : i + 512]
-        a = own[w]
-        out = np.maximum(n[a, :] - right[w], 0) + 0.5
-        into = np.maximum(n[:, a].T - left[w], 0) + 0.5
-        score[w, a] = (right[w] * np.log(out / out.sum(1, keepdims=True))).sum(1) + (left[w] * np.log(into / into.sum(1, keepdims=True))).sum(1)
-    return score.argmax(1)
+def exchange_pass(left: np.ndarray, right: np.ndarray, own: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Classes after every word in turn has moved to the class below *k* that gains most log-likelihood.
+
+    Rows of *left* and *right* are a word's counts by its neighbours' classes as they were before the pass; *n* is the
+    class matrix, kept up to date with every move.  Counts of a word beside itself are taken as its class's.
+    """
+    g = lambda x: x * np.log(np.maximum(x, 1.0))
+    n, own = n.astype(float), own.copy()
+    for i in range(len(own)):
+        a, l, r = own[i], left[i], right[i]
+        at_l, at_r = np.flatnonzero(l), np.flatnonzero(r)
+        n[a, at_r] = np.maximum(n[a, at_r] - r[at_r], 0.0)
+        n[at_l, a] = np.maximum(n[at_l, a] - l[at_l], 0.0)
+        after, before = n[:k, at_r], n[at_l, :k]
+        gain = (g(after + r[at_r]) - g(after)).sum(1) + (g(before + l[at_l][:, None]) - g(before)).sum(0)
+        rows, cols = n[:k].sum(1), n[:, :k].sum(0)
+        b = int((gain - g(rows + r.sum()) + g(rows) - g(cols + l.sum()) + g(cols)).argmax())
+        n[b, at_r] += r[at_r]
+        n[at_l, b] += l[at_l]
+        own[i] = b
+    return own
 
 
 def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int, rows: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +277,7 @@ def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int, rows: in
         if turn == passes and best is not None:
             break
 
-        moved = counts.where("kind = 0").groupBy("shard").applyInArrow(_mover(matrix, classes, k, each, turn), "f long, c long")
+        moved = counts.where("kind = 0").groupBy("kind").applyInArrow(_mover(matrix, classes, k, each), "f long, c long")
         got = moved.toArrow()  # at most FREQUENT rows
         classes = classes.copy()
         classes[got.column("f").to_numpy()] = got.column("c").to_numpy()
@@ -279,26 +287,23 @@ def exchange(chunks: DataFrame, words: np.ndarray, k: int, passes: int, rows: in
     return best[1], best[2]
 
 
-def _mover(matrix: np.ndarray, classes: np.ndarray, k: int, each: int, turn: int):
+def _mover(matrix: np.ndarray, classes: np.ndarray, k: int, each: int):
+    """One pass of exchanges in one task: it reads a row of counts by class for each of at most FREQUENT words."""
     wide = k + 3
 
     def move(table: pa.Table) -> pa.Table:
-        p = table.column("shard")[0].as_py()
-        own = classes[p * each : (p + 1) * each]
-        left, right = (_array(table.column(j)[0], np.int64)[: len(own) * wide].astype(float) for j in ("x", "y"))
-        new = best_classes(left.reshape(-1, wide), right.reshape(-1, wide), own, matrix, k)
-        f = np.arange(p * each, p * each + len(own))
-        moves = (own == k) | (mixed_bit(f, turn) == 1)
-        return pa.table({"f": pa.array(f, pa.int64()), "c": pa.array(np.where(moves, new, own), pa.int64())})
+        left, right = np.zeros((len(classes), wide)), np.zeros((len(classes), wide))
+        for i, p in enumerate(table.column("shard").to_pylist()):
+            part = slice(p * each, min((p + 1) * each, len(classes)))
+            size = (part.stop - part.start) * wide
+            for side, x in ((left, "x"), (right, "y")):
+                side[part] = _array(table.column(x)[i], np.int64)[:size].reshape(-1, wide)
+        new = exchange_pass(left, right, classes, matrix, k)
+        return pa.table({"f": pa.array(np.arange(len(classes)), pa.int64()), "c": pa.array(new, pa.int64())})
 
     return move
 
 
-def mixed_bit(f: np.ndarray, turn: int) -> np.ndarray:
-    h = (f.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
-    return (h >> np.uint64(40) & np.uint64(1)).astype(np.int64)
-
-
 def runs(times: np.ndarray) -> np.ndarray:
     """0, 1, ... for each of *times*, one after the other."""
     return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
