@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Tokens that mean null, true and false.
 NULLS = ("", "null", "none", "nan", "nat", "n/a", "na", "#n/a")
 TRUE, FALSE = ("true", "yes", "y"), ("false", "no", "n")
 #: White space as Unicode text processing strips it.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions.canonical import BLANK, let, strip
 
+# Tokens that mean null in a key.
 NULLS = ("", "null", "none", "nan", "nat", "n/a", "na", "<null>")
 #: Key columns that the lookup form uses.
 INDEX_COLUMNS = 3

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from concordia.functions.canonical import strip
 from concordia.functions.patterns import NAME_PATTERNS
 
+# Sample size, limits and the share of distinct rows that is enough; then classes, shares and boosts.
 SAMPLE, MOST_CANDIDATES, MOST_PREFIX, FALLBACK, ENOUGH = 50, 30, 24, 20, 0.999
 CLASSES = ("boolean", "timestamp", "filename", "integer", "decimal", "alphanumeric", "alphabetic", "text")
 #: Column classes in the order they are tried: cell class, share to exceed, column class, boost.

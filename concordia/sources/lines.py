@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Delimiters in the order that breaks ties, and column names that mean unsplit text.
 DELIMITERS = "|,\t~;"
 #: The vote inside a single text column breaks ties in another order.
 ROW_TEXT_DELIMITERS = "|,\t;~"
