@@ -10,7 +10,10 @@ star-shaped candidate edges, confirmed on full shingle sets.
    group of edited copies is the text they were edited from.  So a bucket of n classes gives n - 1 candidate
    pairs, never n squared.
 4. Candidates are confirmed by exact intersections of full sets.  Classes of a bucket that ended in different
-   components get another star and a chain, round by round, until a round finds no link.
+   components get another star and a chain for a few rounds, which only make the last step cheap.
+5. All classes of buckets that still hold several components are then joined exactly: shingles in order of
+   rarity, a prefix of each set, and a bound by position.  No pair that reaches the share and has a bucket in
+   common is left in two components, whoever its neighbours are.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and keep their
 own id; a null id never becomes a component id while its group has another; repeated rows are copies;
@@ -147,8 +150,42 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of *members* (cid, n_shingles, root) of different roots that can reach *percent*.
+
+    In one total order of the shingles, rarest first, sets x and y with 100 * common >= percent * union have
+    their first common shingle at places i and j (from 0) with common <= min(|x| - i, |y| - j); pairs that no
+    common shingle lets pass cannot reach it.  Shingles of one set only come first and need no shuffle.
+    """
+
+    def run(batches):
+        for batch in batches:
+            cids = batch.column(0).to_numpy()
+            for at in range(0, len(cids), 200):
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)[at : at + 200]]
+                cid = np.repeat(cids[at : at + 200], [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.concatenate(found))], ["cid", "shingle"])
+
+    flat = stage(sets.mapInArrow(run, "cid long, shingle long"), "shingles")
+    shared = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = flat.join(shared, "shingle")
+    own = held.groupBy("cid").agg(F.count(F.lit(1)).alias("n_shared"))
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))
+    held = held.withColumn("rank", rank).join(own, "cid").join(members, "cid")
+    held = held.withColumn("left", F.col("n_shared") - F.col("rank") + 1).where(100 * F.col("left") >= percent * F.col("n_shingles"))
+    held = stage(held.select("shingle", "cid", "root", F.col("n_shingles").alias("size"), "left"), "prefixes")
+    # every pair of two roots has a member outside the shingle's largest root: its members never meet each other
+    per = held.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = per.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    held = held.join(major.select("shingle", F.col("m.root").alias("major")), "shingle")
+    x, y = held.where("root <> major").alias("x"), held.alias("y")
+    reach = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & reach)
+    return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int = 3) -> DataFrame:
-    """(node, root) of the classes in groups of more than one."""
+    """(node, root) of the classes in groups of more than one; *rounds* of stars decide cost and not results."""
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes that can reach it
     held = classes.select("cid", "n_shingles", F.explode("bands").alias("key"))
     crowd = held.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
@@ -162,7 +199,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, roun
         if label is not None:
             rows = held.join(label, held["cid"] == label["node"], "left").select(held["*"], F.coalesce("root", "cid").alias("root"))
             mixed_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            # one member stands for a component in a bucket; the other members' links are known
+            # one member stands for a component in a bucket; open_pairs tries the others
             rows = rows.join(mixed_.select("key"), "key")
             per = rows.groupBy("key", "root").agg(best)
             rows = per.select("key", "root", "c.cid", "c.n_shingles", "c.degree")
@@ -186,6 +223,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, roun
         links = found if links is None else links.unionByName(found)
         tried = edges if tried is None else tried.unionByName(edges)
         label = stage(components(links, "near-cc"), "near-roots")
+    rows = held.join(label, held["cid"] == label["node"], "left").select("key", "cid", "n_shingles", F.coalesce("root", "cid").alias("root"))
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    members = stage(rows.join(several.select("key"), "key").select("cid", "n_shingles", "root").distinct(), "open")
+    sets = stage(sets_of(docs, classes.join(members.select("cid"), "cid").select("cid", "rep", "th"), k), "open-sets")
+    edges = stage(open_pairs(members, sets, percent).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    found = stage(confirmed(edges, sets, percent), "open-links")
+    if found.take(1):
+        label = stage(components(links.unionByName(found), "near-cc"), "near-roots")
     return label
 
 

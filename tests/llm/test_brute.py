@@ -77,6 +77,24 @@ def test_near_duplicates(make_docs, seed, k):
     assert kept == set(expected.values())
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_all_pairs_of_a_bucket_are_decided(make_docs, spark, seed):
+    """One bucket with all texts, among them many pairs with other texts between them by size and id."""
+    rng = random.Random(seed)
+    docs = near_corpus(seed)
+    for g in range(15):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        docs += [(10_000 + g, " ".join(words)), (20_000 + 7 * g % 15, " ".join([*words[:-1], "end"]))]
+    docs = list({frozenset(shingles(t, 5)): (i, t) for i, t in docs}.values())
+    sets = {i: shingles(t, 5) for i, t in docs}
+    expected = brute_components(sets, 80)
+    df = make_docs(docs)
+    classes = df.selectExpr("doc_id as cid", "doc_id as rep", "xxhash64(text) as th")
+    size = spark.createDataFrame([(i, len(s), [1]) for i, s in sets.items()], "cid long, n_shingles long, bands array<long>")
+    label = {r["node"]: r["root"] for r in minhash.link_classes(df, classes.join(size, "cid"), 5, 80).collect()}
+    assert {i: label.get(i, i) for i in sets} == expected
+
+
 def test_one_permutation_estimates_jaccard():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
