@@ -1,7 +1,9 @@
 """Secret scans: pattern rules plus sliding-window Shannon entropy with an allow-list.
 
 A span is (kind, start, end) in code points, end exclusive.  Base kinds are ``assign``,
-``access`` and ``hex``; the entropy pass adds ``entropy_hex`` and ``entropy_mixed``.
+``access`` and ``hex``; the entropy pass adds ``entropy_hex`` and ``entropy_mixed`` over whole candidates, and
+``entropy_lower``, ``entropy_upper`` (with digits) and ``entropy_letters`` (both cases, no digit) over parts between
+separators.  Letters of one case without a digit get no window: entropy does not tell them from words.
 
 Defined results: a null text is an empty text (no spans); an empty table gives an empty table;
 repeated rows each get their own row; texts of any length are scanned whole.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm._common import ship
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     re.IGNORECASE | re.ASCII,
@@ -28,16 +30,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: Window length and least entropy in bits per character class.
-CLASSES = {"entropy_hex": (20, 3.0), "entropy_mixed": (24, 3.9)}
-#: Candidate strings that look random but are public by construction.
+#: Window length and least entropy in bits per character class; no window is longer than the shortest candidate.
+CLASSES = {"entropy_hex": (20, 3.0), "entropy_lower": (20, 3.5), "entropy_upper": (20, 3.5), "entropy_mixed": (20, 3.7), "entropy_letters": (20, 3.7)}
+#: Parts of candidates that look random but are public by construction.
 ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855|da39a3ee5e6b4b0d3255bfef95601890afd80709"
-    r"|d41d8cd98f00b204e9800998ecf8427e"  # digests of nothing
-    r"|.*(?:EXAMPLE|example|placeholder|PLACEHOLDER|xxxx|XXXX|0123456789|123456789).*"
-    r"|.*(?:abcdefgh|ABCDEFGH).*"
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"  # UUID
+    r"|(?<![0-9a-f])(?:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855|da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    r"|d41d8cd98f00b204e9800998ecf8427e)(?![0-9a-f])"  # digests of nothing
 )
+#: A part between separators that holds one of these is a placeholder; its neighbours are not.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|placeholder|PLACEHOLDER|xxxx|XXXX|0123456789|123456789|abcdefgh|ABCDEFGH")
+PART = re.compile(r"[^/=_+-]+")
 
 
 def entropy_regions(s: str, window: int, least: float) -> list[tuple[int, int]]:
@@ -86,22 +89,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def part_kind(s: str) -> str | None:
+    """The character class of a part without separators, if a class of one alphabet fits it."""
+    digit, lower, upper = (re.search(p, s) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+    if lower and upper:
+        return None if digit else "entropy_letters"
+    if not digit or not (lower or upper):
+        return None
+    if re.fullmatch("[0-9a-fA-F]+", s):
+        return "entropy_hex"
+    return "entropy_lower" if lower else "entropy_upper"
+
+
+def open_pieces(s: str) -> list[tuple[int, int]]:
+    """Regions of candidate *s* left by allow-listed substrings and by parts that are placeholders."""
+    closed = [m.span() for m in ALLOWED.finditer(s)]
+    closed += [m.span() for m in PART.finditer(s) if PLACEHOLDER.search(m.group())]
+    out, at = [], 0
+    for a, b in [*sorted(closed), (len(s), len(s))]:
+        if at < a:
+            out.append((at, a))
+        at = max(at, b)
+    return out
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     """Random-looking regions of candidate strings, without allow-listed ones."""
     if max(map(len, text.split()), default=0) < 20:
         return []
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or ALLOWED.fullmatch(s):
-            continue
-        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
-            kind = "entropy_hex"
-        elif re.search("[a-z]", s) and re.search("[A-Z]", s):
-            kind = "entropy_mixed"
-        else:
-            continue
-        found += [(kind, m.start() + a, m.start() + b) for a, b in entropy_regions(s, *CLASSES[kind])]
+        for start, end in open_pieces(m.group()):
+            s, at = m.group()[start:end], m.start() + start
+            own: list[tuple[str, int, int]] = []
+            kind = "entropy_hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "entropy_mixed"
+            if re.search("[0-9]", s) and (re.search("[A-Za-z]", s) if kind == "entropy_hex" else re.search("[a-z]", s) and re.search("[A-Z]", s)):
+                own += [(kind, at + a, at + b) for a, b in entropy_regions(s, *CLASSES[kind])]
+            for part in PART.finditer(s):  # one alphabet, no separators: paths and slugs are not such parts
+                if (kind := part_kind(part.group())) is not None:
+                    regions = [(at + part.start() + a, at + part.start() + b) for a, b in entropy_regions(part.group(), *CLASSES[kind])]
+                    own += [(kind, a, b) for a, b in regions if not any(c <= a and b <= d for _, c, d in own)]
+            found += own
     return found
 
 

@@ -167,6 +167,22 @@ def test_secret_base_spans_are_the_rules():
     assert any(x[0] == "entropy_mixed" for x in secrets.all_spans("key Zx8vQ2mN7bLp4Rt9KwYc3HdFg6Js end"))
 
 
+def test_entropy_covers_every_class_and_allows_only_parts():
+    rng = random.Random(9)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for kind, letters in (("entropy_lower", lower + "0123456789"), ("entropy_upper", upper + "234567"), ("entropy_letters", lower + upper), ("entropy_mixed", lower + upper + "0123456789")):
+        keys = ["".join(rng.choice(letters) for _ in range(rng.choice([20, 21, 23, 32]))) for _ in range(200)]
+        caught = sum(any(x[0].startswith("entropy") for x in secrets.all_spans(f"key {k} end")) for k in keys)
+        assert caught >= 190, (kind, caught)
+        assert any(x[0] == kind for k in keys for x in secrets.all_spans(k))
+    key = "Zx8vQ2mN7bLp4Rt9KwYc3HdFg6Js"
+    for text in (f"/example/{key}", f"{key}/123456789", f"xxxx_{key}", f"123e4567-e89b-12d3-a456-426614174000/{key}"):
+        spans = [x for x in secrets.all_spans(text) if x[0].startswith("entropy")]
+        assert any(a <= text.index(key) and text.index(key) + len(key) <= b for _, a, b in spans), text
+    for text in ("exampleZx8vQ2mN7bLp4Rt9KwYc", "getElementsByClassName", "internationalization2024", "docs/2024/01/report-final-version-2", "erberbeeinheitkeiter", "0123456789abcdef0123456789ab"):
+        assert not any(x[0].startswith("entropy") for x in secrets.all_spans(text)), text
+
+
 def test_entropy_by_increments_is_entropy_by_definition():
     rng = random.Random(2)
     for window, least in ((20, 3.0), (24, 3.9), (5, 1.5)):
