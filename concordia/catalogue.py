@@ -234,8 +234,18 @@ def display_truncation(spark, sf_dir):
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey = b.l_partkey and a.l_suppkey = b.l_suppkey where a.l_orderkey % 10 = 0""")
 def match_scores(spark, sf_dir):
     """Score of row pairs: equal cells whatever the case, nulls equal to nulls."""
+    return _scores(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query(ORACLES["match_scores"].replace(" where a.l_orderkey % 10 = 0", ""))
+def match_scores_all(spark, sf_dir):
+    """match_scores over the whole table."""
+    return _scores(table(spark, sf_dir, "lineitem"))
+
+
+def _scores(lines: DataFrame) -> DataFrame:
     cols = ["l_orderkey", "l_partkey", "l_suppkey"]
-    df = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(*cols, "l_linenumber", "l_returnflag", "l_linestatus")
+    df = lines.select(*cols, "l_linenumber", "l_returnflag", "l_linestatus")
     b = df.select(*cols, F.col("l_linenumber").alias("other"), F.col("l_returnflag").alias("other_flag"), F.lower("l_linestatus").alias("other_status"))
     score = matching_columns([
         (F.col("l_returnflag"), F.col("other_flag")), (F.col("l_linestatus"), F.col("other_status")),
@@ -412,7 +422,16 @@ s as (select k, n, count(*) as c from x group by all), t as (select k, n, count(
 select k as l_orderkey, n as l_linenumber, least(s.c, t.c) as pairs from s join t using (k, n)""")
 def greedy_pairs(spark, sf_dir):
     """Pairs per key where keys repeat on both sides and no cell but the key agrees: every key pairs as often as it can."""
-    df = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    return _key_pairs(table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0"))
+
+
+@query(ORACLES["greedy_pairs"].replace(" where l_orderkey % 20 = 0", ""))
+def greedy_pairs_all(spark, sf_dir):
+    """greedy_pairs over the whole table."""
+    return _key_pairs(table(spark, sf_dir, "lineitem"))
+
+
+def _key_pairs(df: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     r = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
@@ -429,8 +448,17 @@ def greedy_pairs(spark, sf_dir):
   select cast(k as varchar) as k, 'B' as chosen from p""")
 def best_candidate(spark, sf_dir):
     """Two targets per key: the one with more equal cells wins, whichever comes first."""
+    return _chosen(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@query(ORACLES["best_candidate"].replace(" where o_orderkey % 50 = 0", ""))
+def best_candidate_all(spark, sf_dir):
+    """best_candidate over the whole table."""
+    return _chosen(table(spark, sf_dir, "orders"))
+
+
+def _chosen(df: DataFrame) -> DataFrame:
     k = F.col("o_orderkey").cast("string").alias("K")
-    df = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
     s = df.select(k, F.lit("x").alias("A"), F.lit("y").alias("B"), F.lit("z").alias("C"))
     worse = df.select(k, F.lit("1").alias("A"), F.lit("y").alias("B"), F.lit("2").alias("C"))
     better = df.select(k, F.lit("X").alias("A"), F.lit("y").alias("B"), F.lit("3").alias("C"))
