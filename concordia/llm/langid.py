@@ -138,8 +138,10 @@ def fit_filters(
                     )
 
     df = sample.mapInArrow(seen, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(max(2.0, least_share * min(r["count"], sample_rows))))])
-    frequent = df.where((F.col("n") >= least[F.col("lang")]) | (F.lit(max(r["count"] for r in counts)) < 50))
+    # by each language's own rows: one of few rows keeps all its n-grams, however large the others are
+    needed = lambda n: 1.0 if n < 50 else max(2.0, least_share * min(n, sample_rows))
+    least = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(needed(r["count"])))])
+    frequent = df.where(F.col("n") >= least[F.col("lang")])
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -259,6 +259,12 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.98 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_rare_language_is_learned_beside_a_large_one(make_docs):
+    docs = [(i, f"the quick brown fox number {i} jumps over the lazy dog", "en") for i in range(60)] + [(99, "szczęście źródło żółw gęś chrząszcz", "pl")]
+    filters = langid.fit_filters(make_docs([(*d, "s") for d in docs]))
+    assert langid.predict(filters, ["chrząszcz źródło", "the lazy fox"])[0] == ["pl", "en"]
+
+
 def test_filters_return_all_languages_and_correct_for_errors():
     f = langid.Filters(["a", "b"], np.zeros((1 << 12, 1), np.uint64), [0.0, 0.0])
     h, _ = langid.gram_hashes(*langid.letters(["only in a", "in both of them"]))
