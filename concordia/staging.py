@@ -2,24 +2,73 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_USED: dict[str, SparkSession] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="concordia-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _OWN:
+            _OWN[key] = tempfile.mkdtemp(prefix="concordia-")
+            spark.sparkContext.setCheckpointDir(_OWN[key])
+        base = _OWN[key]
     return base.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where everything that this application stages is; deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/concordia/{spark.sparkContext.applicationId}"
+    if path not in _USED:
+        _USED[path] = spark
+        atexit.register(_remove_quietly, spark, path)
+    return path
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """*df* written to the shared folder and read back: later plans start from files, not from its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/concordia/{label}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that no plan will read again."""
+    if (path := _PATHS.pop(df, None)) is not None:
+        remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application has staged; results that still read it become unusable."""
+    remove(spark, application_folder(spark))
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001  the session ended first
+        pass
