@@ -1,20 +1,22 @@
-"""Shared plumbing of the training-data operators: staging, Arrow helpers, components."""
+"""Shared plumbing of the training-data operators: staging, joins that spread hot keys, components."""
 
 from __future__ import annotations
 
 import gc
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from concordia.staging import discard, fresh_folder, shared_folder, stage
+
+__all__ = ["WORD", "components", "discard", "fresh_folder", "release", "shared_folder", "ship", "spread_join", "stage", "uniform_bucket"]
 
 #: Words as every contract here defines them: runs without space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: At most so many keys of a join are looked up by broadcast; fewer rows than LEAST_HOT are never hot.
+MOST_HOT, LEAST_HOT = 1000, 1000
 
 
 def ship(name: str) -> None:
@@ -25,30 +27,6 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = spark.sparkContext.applicationId
-        if key not in _OWN:
-            _OWN[key] = tempfile.mkdtemp(prefix="concordia-")
-            spark.sparkContext.setCheckpointDir(_OWN[key])
-        base = _OWN[key]
-    return base.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/concordia/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write *df* once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete shuffle files of plans that nothing refers to any more.
 
@@ -63,33 +41,47 @@ def uniform_bucket(key, buckets):
     return F.floor(F.shiftrightunsigned(key, 1).cast("double") / F.lit(float(2**63)) * buckets).cast("long")
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """*rows* joined to *facts* (one row a key), whatever share of the rows one key holds.
+
+    *count* of facts says how many of the *total* rows a key has.  Keys with more than 1 / MOST_HOT of them, so
+    fewer than MOST_HOT keys, are looked up by broadcast and their rows stay where they are; all others meet by
+    shuffle, at most a thousandth of the rows in one task.
+    """
+    most = max(LEAST_HOT, total // MOST_HOT)
+    hot = F.broadcast(facts.where(F.col(count) > most).drop(count))
+    cold = facts.where(F.col(count) <= most).drop(count)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))
+
+
 def components(edges: DataFrame, label: str = "cc", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected edge list.
 
     *edges* has long columns ``a`` and ``b``.  Returns one row per node that occurs in an edge:
     ``node``, ``root`` (the smallest node of its component).  Alternates the large-star and
     small-star steps of Kiveris et al. (2014): every step is a grouped minimum plus one join, the
-    edge list never grows, and a node with any number of neighbours is a skewed key of a join,
-    which adaptive execution splits, never a collected list.  Each round is written to the shared
-    folder, so that a lost executor costs one round.
+    edge list never grows, and a node with a large share of all edges is spread over tasks
+    (``spread_join``), never a collected list.  Each round is written to the shared
+    folder, so that a lost executor costs one round; the round before it is deleted then.  The
+    number of rounds grows with the logarithm of the longest path; more than *rounds* is an error.
     """
-    spark = edges.sparkSession
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     cur = stage(cur, label)
-    seen = None
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = mark(cur)
     for _ in range(rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), low, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        cur = stage(small, label)
-        mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        last, cur = cur, stage(small, label)
+        discard(last)
+        if (now := mark(cur)) == seen:
             break
-        seen = tuple(mark)
+        seen = now
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

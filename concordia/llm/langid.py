@@ -21,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concordia.llm._common import ship
 
@@ -142,8 +143,6 @@ def fit_filters(
     needed = lambda n: 1.0 if n < 50 else max(2.0, least_share * min(n, sample_rows))
     least = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(needed(r["count"])))])
     frequent = df.where(F.col("n") >= least[F.col("lang")])
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     got = frequent.withColumn("r", rank).where(F.col("r") <= grams).select("lang", "gram").toArrow()  # at most grams x languages
     words = np.zeros((slots, (len(names) + 63) // 64), np.uint64)
@@ -196,9 +195,11 @@ def _in_parts(filters: Filters, texts: list[str | None], most: int = PART_CHARS)
     return (names + a)[: len(texts)], (scores + b)[: len(texts)]
 
 
-def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """*df* with ``lang_pred`` and ``lang_score`` appended; only *text_col* is read for them."""
+def identify(df: DataFrame, filters: Filters, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "lang_score") -> DataFrame:
+    """*df* with the columns *lang_as* and *score_as* appended; only *text_col* is read for them."""
     names = df.columns
+    if taken := {lang_as.lower(), score_as.lower()}.intersection(n.lower() for n in names):
+        raise ValueError(f"columns exist already: {', '.join(sorted(taken))}")
     at = names.index(text_col)
     model = df.sparkSession.sparkContext.broadcast(filters)  # slots x languages bits, bounded by its parameters
 
@@ -206,14 +207,25 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
         for batch in batches:
             lang, score = _in_parts(model.value, batch.column(at).to_pylist())
             arrays = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "lang_pred", "lang_score"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays(arrays, [*names, lang_as, score_as])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
     return df.mapInArrow(run, schema)
 
 
+def in_learned_language(df: DataFrame, filters: Filters, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of *df* whose text is in a language that *filters* know: not ``und``, with *least_score* at least."""
+    at = df.columns.index(text_col)
+    model = df.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for batch in batches:
+            lang, score = _in_parts(model.value, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def detect_languages(df: DataFrame, learn: DataFrame | None = None, **fit) -> DataFrame:
     """The contract's columns for every row of *df*, learning from three of four crc32 classes of *learn*."""
     learn = df if learn is None else learn

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import components, ship, stage
+from concordia.llm._common import components, ship, spread_join, stage
 
 BANDS, ROWS = 32, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -235,17 +235,28 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, roun
 
 
 def decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, th (hash of its text), n_shingles, root (its group; null for empty sets), component_id."""
+    """Per row: doc_id, th (hash of its text), n_shingles, component_id and first_th (its group's first row; null for
+    empty sets)."""
     rows = stage(signatures(docs, k), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")
-    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = classes.select(F.xxhash64("s1", "s2").alias("cid"), "s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "n_shingles", "bands")
+    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(
+        first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")
+    )
+    classes = classes.select(
+        F.xxhash64("s1", "s2").alias("cid"), "s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "n_shingles", "bands", "copies"
+    )
     classes = stage(classes, "classes")
     label = link_classes(docs, classes, k, percent)
-    named = classes.join(label, classes["cid"] == label["node"], "left").select("s1", "s2", "rep", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(named.join(least, "root").select("s1", "s2", "root", "component_id"), "named")
-    return rows.select("doc_id", "th", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left").drop("s1", "s2")
+    linked = stage(classes.join(label, classes["cid"] == label["node"]).select("cid", "rep", "th", "root"), "linked")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "th")).alias("f")
+    least = linked.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).select("root", F.col("f.rep").alias("component_id"), F.col("f.th").alias("first_th"), "n")
+    linked = spread_join(linked.select("cid", "root"), least, ["root"], "n", linked.count()).select("cid", "component_id", "first_th")
+    alone = F.col("first_th").isNull()
+    named = classes.select("cid", "s1", "s2", "rep", "th", "copies").join(linked, "cid", "left").select(
+        "s1", "s2", "copies", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first_th", "th").alias("first_th")
+    )
+    named = stage(named, "named")
+    return spread_join(rows.select("doc_id", "th", "n_shingles", "s1", "s2"), named, ["s1", "s2"], "copies", rows.count(), "left").drop("s1", "s2")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -259,19 +270,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """*docs* with one row of each group of near-duplicates: that of the smallest id.  Rows without words stay."""
-    rows = stage(decided(docs, k, percent).where("root is not null"), "decided")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f")
-    keeper = rows.groupBy("root").agg(first).select("root", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"))
-    rows = rows.join(keeper, "root")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    """*docs* with one row of each group of near-duplicates: that of the smallest id.  Rows without words stay.
+
+    All columns of *docs* travel inside one struct, so that none of their names can clash with those used here.
+    """
+    rows = stage(decided(docs, k, percent).where("first_th is not null"), "decided")
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th"))
     gone = rows.where(~is_first).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    th = F.xxhash64("text")
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (th == F.col("gone_th")), "left_anti")
-    if rows.where(is_first).groupBy("root").count().where("count > 1").take(1):  # whole rows repeat
-        lone = out.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0)
-        out = out.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) > 0).dropDuplicates(["doc_id", "text"]).unionByName(lone)
-    return out
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("th"))
+    out = whole.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    if rows.where(is_first).groupBy("component_id", "first_th").count().where("count > 1").take(1):  # whole rows repeat
+        letters = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0))
+        out = out.where(letters > 0).dropDuplicates(["id", "text"]).unionByName(out.where(letters == 0))
+    return out.select("row.*")
 
 
 ship(__name__)

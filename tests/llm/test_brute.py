@@ -77,6 +77,60 @@ def test_near_duplicates(make_docs, seed, k):
     assert kept == set(expected.values())
 
 
+def chains_and_trees(seed, groups=3, size=40, words=103):
+    """Windows sliding over a text, and trees of edited copies: most links are between neighbours only."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(groups):
+        base = [word() for _ in range(words + 6 * size)]
+        texts += [base[6 * i : 6 * i + words] for i in range(size)]
+        tree = [[word() for _ in range(words)]]
+        while len(tree) < size:
+            new = list(rng.choice(tree))
+            for _ in range(rng.randrange(1, 5)):
+                new[rng.randrange(words)] = word()
+            tree.append(new)
+        texts += tree
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_and_trees_lose_no_link(make_docs, seed):
+    docs = chains_and_trees(seed)
+    expected = brute_components({i: shingles(t, 4) for i, t in docs}, 80)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make_docs(docs), k=4).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_spread_join_and_components(spark, monkeypatch, most):
+    """Hot keys by broadcast or by shuffle: one result."""
+    from concordia.llm import _common
+
+    monkeypatch.setattr(_common, "LEAST_HOT", most)
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 200)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    edges += [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in _common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    rows = spark.createDataFrame([(1,)] * 50 + [(2,), (None,), (3,)], "k long")
+    facts = spark.createDataFrame([(1, "a", 50), (2, "b", 1)], "k long, v string, n long")
+    got = collections.Counter(tuple(r) for r in _common.spread_join(rows, facts, ["k"], "n", 53, "left").collect())
+    assert got == {(1, "a"): 50, (2, "b"): 1, (None, None): 1, (3, None): 1}
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_all_pairs_of_a_bucket_are_decided(make_docs, spark, seed):
     """One bucket with all texts, among them many pairs with other texts between them by size and id."""
