@@ -355,6 +355,108 @@ def test_html_template_text_without_markup_hints(spark):
     assert all("Own text of page 1" in got[50 + i] for i in range(6))
 
 
+def test_html_keeps_embedded_texts_of_the_article(spark):
+    page = "<article><p>Let <math><mi>x</mi></math> be <object>a figure</object></p></article>"
+    rows = html.extract_main_text(spark.createDataFrame([(1, "http://h.example/", page)], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"] == "Let x be a figure"
+
+
+def deduced(pages):
+    """The template of one host by the definitions: vectors, classes, order, nesting."""
+    reps = {}
+    for p in pages:
+        tokens = html.blocks_of(p)
+        reps.setdefault(html.article_hash(tokens), []).append([x[0] for x in tokens])
+    seqs = [v[0] for v in reps.values()]
+    if len(seqs) < 4:
+        return set()
+    groups = collections.defaultdict(set)
+    for t in set().union(*map(set, seqs)):
+        groups[tuple(s.count(t) for s in seqs)].add(t)
+    classes = []
+    for vector, tokens in groups.items():
+        if sum(v > 0 for v in vector) < 4 or len(tokens) < 2 or not any(t % 2 for t in tokens):
+            continue
+        orders = set()
+        for s, n in zip(seqs, vector, strict=True):
+            if n:
+                own = [t for t in s if t in tokens]
+                runs = {tuple(own[i : i + len(tokens)]) for i in range(0, len(own), len(tokens))}
+                orders |= runs if len(runs) == 1 and len(set(own[: len(tokens)])) == len(tokens) else {None}
+        if len(orders) == 1 and None not in orders:
+            classes.append(orders.pop())
+
+    def occurrences(s, order):
+        at = [i for i, t in enumerate(s) if t in order]
+        return [at[i : i + len(order)] for i in range(0, len(at), len(order))]
+
+    def rank(order):
+        return (sum(order[0] in s for s in seqs), -sum(s.count(order[0]) for s in seqs), len(order))
+
+    ranks = [rank(c) for c in classes]
+    assert len(set(ranks)) == len(ranks)  # pages of the test leave no tie
+    valid = set()
+    for order in classes:
+        around, good = set(), True
+        for s in seqs:
+            for mine in occurrences(s, order):
+                inside = []
+                for other in classes:
+                    if rank(other) <= rank(order):
+                        continue
+                    for its in occurrences(s, other):
+                        if its[0] < mine[0] < its[-1] or mine[0] < its[0] < mine[-1]:
+                            outer, inner = (its, mine) if its[0] < mine[0] else (mine, its)
+                            slot = max(k for k, x in enumerate(outer) if x < inner[0])
+                            good &= inner[-1] < outer[slot + 1]
+                            if inner is mine:
+                                inside.append((its[0], other, slot))
+                around.add(max(inside)[1:] if inside else None)
+        if good and len(around) == 1:
+            valid |= set(order)
+    return valid
+
+
+def test_html_template_is_that_of_the_definitions(spark):
+    """Hosts with boxes that only some pages have, at one or several places, lists, near-copies and unclosed elements."""
+    rng = random.Random(12)
+    pages, hosts = [], 20
+    for h in range(hosts):
+        shared = [f"shared {h} {i}" for i in range(5)]
+        for i in range(rng.choice([3, 5, 8, 12])):
+            own = [f"own {h} {i} {j}" if rng.random() < 0.8 else shared[4] for j in range(rng.randrange(1, 5))]
+            items = "".join(f"<li><a href=x>{rng.randrange(99)}</a></li>" for _ in range(rng.randrange(1, 4)))
+            box = f"<div class=box{h % 3}>{shared[1]}<span class=s>x</span></div>" if i % 2 else ""
+            text = "".join(f"<p>{t}" + ("</p>" if rng.random() < 0.9 else "") for t in own)
+            parts = [f"<div class=top>{shared[0]}</div>", f"<ul class=u>{items}</ul>", f"<div class=mid>{text}</div>"]
+            parts.insert(rng.choice([0, 3]) if h % 4 == 0 else 3, box)
+            pages.append((h, "<html><body>" + "".join(parts) + f"<div class=end>{shared[3]}</div>" + ("</body></html>" if rng.random() < 0.9 else "")))
+    df = spark.createDataFrame([(f"h{h}", p) for h, p in pages], "host string, html string")
+    got = {r["host"]: {x["token"] for x in r["tokens"]} for r in html.template_tokens(df).collect()}
+    found = 0
+    for h in range(hosts):
+        expected = deduced([p for k, p in pages if k == h])
+        assert got.get(f"h{h}", set()) == expected, h
+        found += bool(expected)
+    assert found > 10
+
+
+def test_html_classes_decide(spark):
+    """A box on a third of the pages is template by its class; texts that only near-copies share are not."""
+    page = "<div class=w><p>Own text of page {0}</p></div>"
+    box = "<div class=box><span class=x>Read this too</span></div>"
+    again = "<div class=w><p>Own text of page {0}</p><p>The same closing words</p></div>"
+    pages = [(i, (again if i % 2 else page).format(i) + (box if i % 3 == 0 else "")) for i in range(15)]
+    df = spark.createDataFrame([(i, "http://a.example/x", p) for i, p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract_main_text(df).collect()}
+    assert all(got[i] == [f"Own text of page {i}"] + ["The same closing words"] * (i % 2) for i in range(15))
+    # where a class ends decides which slot the text after it belongs to: here one that is mostly link text
+    page = "<a href=x>eight letters</a><ul class=m>menu</ul>end"
+    first, last = [x[0] for x in html.blocks_of(page) if x[1] is None][-2:]
+    assert html.extract(page, {first: (1, 0, 2), last: (1, 1, 2)}) == "menu"
+    assert html.extract(page, {first: (1, 0, 3), last: (1, 1, 3)}) == "menu\nend"
+
+
 def test_encoder_is_the_tokenizers():
     from tokenizers import Tokenizer
 
