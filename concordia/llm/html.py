@@ -217,8 +217,8 @@ def candidate_classes(reps: DataFrame) -> DataFrame:
     return rows.groupBy("host").agg(F.collect_list(F.struct("token", "class", "size", "rank")).alias("tokens"))
 
 
-def class_orders(seq: list[int], classes: dict[int, tuple[int, int]]) -> dict[int, tuple[int, ...] | None]:
-    """The order of each class's tokens on a page; None where they do not come in one order, again and again."""
+def class_orders(seq: list[int], classes: dict[int, tuple[int, ...]]) -> dict[int, tuple[int, ...] | None]:
+    """*classes*: token to class, class size, and more.  The order of each class's tokens on a page; None where they do not come in one order, again and again."""
     own: dict[int, list[int]] = {}
     for t in seq:
         if t in classes:
@@ -258,6 +258,19 @@ def class_parents(seq: list[int], places: dict[int, tuple[int, int, int, int]])
     return out
 
 
+def _host_tokens(batch: pa.RecordBatch, memo: dict, fields: tuple[str, ...]) -> list[dict]:
+    """Per row of *batch* its host's tokens, as a dict of tuples of *fields*; read once a host, not once a page."""
+    out = []
+    hosts, tokens = batch.column(batch.schema.get_field_index("host")).to_pylist(), batch.column(batch.schema.get_field_index("tokens"))
+    for i, host in enumerate(hosts):
+        if host not in memo:
+            if len(memo) >= 1000:
+                memo.clear()
+            memo[host] = {x["token"]: tuple(x[f] for f in fields) for x in tokens[i].as_py() or ()}
+        out.append(memo[host])
+    return out
+
+
 def _by_host(rows: DataFrame, templates: DataFrame, counts: DataFrame, how: str) -> DataFrame:
     """*rows* with their host's tokens; a host with a large share of all pages is no task of its own."""
     facts = counts.join(templates, "host")
@@ -272,12 +285,13 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     classes = stage(candidate_classes(reps), "classes")
 
     def check_order(batches):
+        memo: dict = {}
         for batch in batches:
             out = [[], [], [], []]
-            for host, seq, tokens in zip(*(batch.column(k).to_pylist() for k in ("host", "seq", "tokens")), strict=True):
-                ranks = {x["class"]: x["rank"] for x in tokens}
-                for c, order in class_orders(seq, {x["token"]: (x["class"], x["size"]) for x in tokens}).items():
-                    for v, x in zip(out, (host, c, ranks[c], order), strict=True):
+            for host, seq, classes in zip(*(batch.column(k).to_pylist() for k in ("host", "seq")), _host_tokens(batch, memo, ("class", "size", "rank")), strict=True):
+                for c, order in class_orders(seq, classes).items():
+                    rank = next(x[2] for x in classes.values() if x[0] == c)
+                    for v, x in zip(out, (host, c, rank, order), strict=True):
                         v.append(x)
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["host", "class", "rank", "own"])
@@ -289,10 +303,11 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     ordered = stage(ordered.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place", "size", "rank")).alias("tokens")), "ordered")
 
     def check_nesting(batches):
+        memo: dict = {}
         for batch in batches:
             out = [[], [], []]
-            for host, seq, tokens in zip(*(batch.column(k).to_pylist() for k in ("host", "seq", "tokens")), strict=True):
-                for c, around in class_parents(seq, {x["token"]: (x["class"], x["place"], x["size"], x["rank"]) for x in tokens}).items():
+            for host, seq, places in zip(*(batch.column(k).to_pylist() for k in ("host", "seq")), _host_tokens(batch, memo, ("class", "place", "size", "rank")), strict=True):
+                for c, around in class_parents(seq, places).items():
                     for v, x in zip(out, (host, c, None if around is None else f"{around[0]}:{around[1]}"), strict=True):
                         v.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["host", "class", "around"])
@@ -345,17 +360,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     kind = src.schema["page_id"].dataType.simpleString()
 
     def run(batches):
+        memo: dict = {}
         for batch in batches:
-            texts = []
-            for page, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(extract(page, {x["token"]: (x["class"], x["place"], x["size"]) for x in tokens or ()}))
+            texts = [extract(page, template) for page, template in zip(batch.column(2).to_pylist(), _host_tokens(batch, memo, ("class", "place", "size")), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
     counts = src.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    joined = _by_host(src, templates, counts, "left").select("page_id", "url", "html", "tokens")
+    joined = _by_host(src, templates, counts, "left").select("page_id", "url", "html", "host", "tokens")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -26,30 +26,23 @@ _POS = (1 << 24) - 1
 RANGE_ROWS, MOST_RANGES = 1000, 4096
 
 
-def _shifted(c: str, by: int, f) -> Column:
-    """f(c[i], c[i + by]) over the array column *c*."""
-    n = F.greatest(F.size(c) - by, F.lit(0))
-    return F.zip_with(F.slice(F.col(c), F.lit(1), n), F.slice(F.col(c), F.lit(1 + by), n), f)
-
-
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Appends *out*: the selected grams of column *text* in order of position, as array<long>.
 
-    Every step is a projection of its own, so that each array is made once and kept flat.
+    Every step is a projection of its own, so that each array is made once and kept flat; a lambda reads its
+    neighbours in the array by index, which makes no arrays between.
     """
     keep = df.columns
-    pair = lambda x, y: F.xxhash64(x, y)
-    low = lambda x, y: F.least(x, y)
-    df = df.withColumn("_u", F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x)))
-    df = df.withColumn("_2", _shifted("_u", 1, pair))
-    df = df.withColumn("_4", _shifted("_2", 2, pair))
-    whole = F.when(F.size("_u") > 0, F.array(F.xxhash64("_u"))).otherwise(F.array().cast("array<long>"))
-    df = df.select(*keep, F.when(F.size("_u") < K, whole).otherwise(F.col("_4")).alias("_g"))
+    ahead = lambda c, i, by: F.get(F.col(c), i + by)
+    first = lambda c, n: F.slice(F.col(c), F.lit(1), F.greatest(n, F.lit(0)))
     packed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 25), 24).bitwiseOR(_POS - i.cast("long") % (_POS + 1))
-    df = df.select(*keep, F.transform("_g", packed).alias("_g"))
-    df = df.withColumn("_2", _shifted("_g", 1, low))
-    df = df.withColumn("_4", _shifted("_2", 2, low))
-    df = df.withColumn("_6", _shifted("_4", 2, low))
+    df = df.withColumn("_u", F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x)))
+    df = df.withColumn("_2", F.transform(first("_u", F.size("_u") - 1), lambda x, i: F.xxhash64(x, ahead("_u", i, 1))))
+    gram = F.transform(first("_2", F.size("_u") - 3), lambda x, i: packed(F.xxhash64(x, ahead("_2", i, 2)), i))
+    whole = F.when(F.size("_u") > 0, F.array(packed(F.xxhash64("_u"), F.lit(0)))).otherwise(F.array().cast("array<long>"))
+    df = df.select(*keep, F.when(F.size("_u") < K, whole).otherwise(gram).alias("_g"))
+    df = df.withColumn("_3", F.transform(first("_g", F.size("_g") - 2), lambda x, i: F.least(x, ahead("_g", i, 1), ahead("_g", i, 2))))
+    df = df.withColumn("_6", F.transform(first("_3", F.size("_g") - 5), lambda x, i: F.least(x, ahead("_3", i, 3))))
     return df.select(*keep, F.when(F.size("_g") < W, F.array_distinct("_g")).otherwise(F.array_distinct("_6")).alias(out))
 
 
