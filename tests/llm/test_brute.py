@@ -1,6 +1,7 @@
 """Operators against brute force on small inputs."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -549,6 +550,52 @@ def test_winnowing_keeps_its_guarantee(make_docs):
     assert len(repeated["fingerprint"].split(",")) >= 8  # one least hash in every window: the rightmost each time
 
 
+def winnowed(text):
+    """[(39-bit hash, place)] of the selected grams, by definition."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    chain = lambda values: functools.reduce(lambda seed, v: xxhash.xxh64_intdigest(int(signed(v)).to_bytes(8, "little", signed=True), seed=seed), values, 42)
+    u = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in re.findall(r"[^\x20\x09-\x0D]{1,4}", text.lower())]
+    if not u:
+        return []
+    if len(u) < winnow.K:
+        return [(chain(u) >> 25, 0)]
+    two = [chain(u[i : i + 2]) for i in range(len(u) - 1)]
+    grams = [chain([two[i], two[i + 2]]) >> 25 for i in range(len(u) - 3)]
+    if len(grams) < winnow.W:
+        return list(zip(grams, range(len(grams)), strict=True))
+    least = (min(range(i, i + winnow.W), key=lambda k: (grams[k], -k)) for i in range(len(grams) - winnow.W + 1))
+    return [(grams[k], k) for k in sorted(set(least))]
+
+
+@pytest.mark.parametrize("range_rows", [3, 1000])
+def test_winnowing_is_the_definition(make_docs, monkeypatch, range_rows):
+    """Fingerprints, edited fingerprints and likenesses; with short ranges, equal ids are cut by their texts' hashes."""
+    monkeypatch.setattr(winnow, "RANGE_ROWS", range_rows)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abAÉ,東") for _ in range(rng.choice([1, 3, 4, 9, 22])))
+    docs = [(i, "".join(word() + rng.choice([" ", "  ", "\n", "\t"]) for _ in range(rng.randrange(0, 60)))) for i in range(70)]
+    docs += [(7, word() + " " + word()) for _ in range(9)] + [(None, "x" * k) for k in (0, 1, 3, 5)] + [(90, None), (91, "a " * 200), (92, "tail\n")]
+    expected = collections.Counter()
+    import xxhash
+
+    h = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), seed=42)).view(np.int64))
+    order = sorted(((i, t or "") for i, t in docs), key=lambda d: (d[0] is None, d[0] or 0, h(d[1]), d[1]))
+    shown = lambda f: ",".join(f"{a:X}:{p}" for a, p in f)
+
+    def alike(f, g):
+        a, b = {x for x, _ in f}, {x for x, _ in g}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        own, e, n = winnowed(t), winnowed(t[: len(t) - cut] + nxt[:cut]), winnowed(nxt)
+        expected[i, len(t), shown(own), shown(e), alike(own, e), alike(own, n)] += 1
+    got = winnow.fingerprint_documents(make_docs(docs)).collect()
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got) == expected
+
+
 def test_brown_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in brown.score_documents(docs, k=16, frequent=2000, passes=3).collect()}
