@@ -9,8 +9,9 @@ significant digits) goes through a small Arrow UDF, which gets null for every ot
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tokens that mean null, true and false.
@@ -21,13 +22,17 @@ BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 STAMP = r"^(\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2})[T ](\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2})"
 MAYBE_NUMBER = r"(?i)^[+-]?(inf|infinity|nan|[\p{Nd}_]*\.?[\p{Nd}_]*(e[+-]?[\p{Nd}_]+)?)$"
 ISO = r"^(19[0-9]{2}|20[0-9]{2}|2100)-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"
-WHOLE, PART = r"^[+-]?0*([0-9]*)\.", r"\.([0-9]*?)0*$"
 #: Longer digit strings are text.
 MOST_DIGITS = 4300
 
 
+#: Which rule a cell falls under.
+NULL, TRUTH, STAMPED, DATE, INTEGER, DECIMAL, EXACT, TEXT = range(8)
+DIGITS, NOTATION = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)$"
+
+
 def let(x: Column, f) -> Column:
-    """f(x) with x evaluated once, however often f names it: the long chains here would not compile otherwise."""
+    """f(x) with x evaluated once, however often f names it."""
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
@@ -35,6 +40,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
+def stripped(c: Column) -> Column:
+    """strip(c), without a search where the first and last characters are plain ones."""
+    plain = lambda x: (x > 32) & (x < 127)
+    return F.when(plain(F.ascii(c)) & plain(F.ascii(F.substring(c, -1, 1))), c).otherwise(strip(c))
+
+
 def _rounded(places: int):
     """Text of a number by exact arithmetic, once and canonicalised again, joined by a space."""
 
@@ -56,77 +67,120 @@ def _rounded(places: int):
         second = "" if first == "nan" else once(first)
         return f"{first} {second}"
 
-    return F.udf(both, "string", useArrow=True)
+    def row(cells):
+        return None if cells is None else [both(x) for x in cells]
+
+    return F.udf(row, "array<string>", useArrow=True)
+
+
+def _kind(v: Column, decimal_precision: int) -> Column:
+    """The first rule that holds for a cell: fields c as it is, s stripped, n without commas, w and p its digits before and
+    after the point without outer zeros."""
+    c, s, n, w, p = (v[x] for x in "csnwp")
+    low, code, size = F.lower(s), F.ascii(s), F.length(s)
+    letter = (code.between(65, 90) | code.between(97, 122)) & ~code.isin(*map(ord, "iInN"))  # of numbers, only inf and nan have one
+    # decimal notation whose shortest text is its digits without outer zeros
+    cut = (F.length(w) + F.length(p) <= 15) & ((p == "") | (((w != "") | ~p.startswith("0000")) & (F.length(p) <= decimal_precision)))
+    return (
+        F.when(c.isNull(), NULL)
+        .when((size <= 5) & low.isin(*NULLS), NULL)
+        .when((size <= 5) & low.isin(*TRUE, *FALSE), TRUTH)
+        .when(letter, TEXT)
+        .when((size >= 19) & s.rlike(STAMP + r"(\.\p{Nd}+)?$"), STAMPED)
+        .when((size == 10) & s.rlike(ISO), DATE)
+        .when(c != s, TEXT)
+        .when(n.rlike(DIGITS), F.when(F.length(n) > MOST_DIGITS, TEXT).otherwise(INTEGER))
+        .when(w.isNotNull() & cut & n.rlike(NOTATION), DECIMAL)
+        .when(n.rlike(MAYBE_NUMBER) & (n != ""), EXACT)
+        .otherwise(TEXT)
+    )
+
+
+def _read(cells: Column, decimal_precision: int) -> Column:
+    """Array of struct(c, s, n, w, p, k) of an array of cells; see :func:`_kind`."""
+    point = lambda n: n.contains(".") & (F.ascii(n) < 58)
+    whole = lambda n: F.ltrim(F.substring_index(n, ".", 1), F.lit("+-0"))
+    part = lambda n: F.rtrim(F.substring_index(n, ".", -1), F.lit("0"))
+    x = F.transform(cells, lambda c: F.struct(c.alias("c"), stripped(c).alias("s")))
+    x = F.transform(x, lambda v: F.struct(v["c"].alias("c"), v["s"].alias("s"), F.when(v["s"].contains(","), F.replace(v["s"], F.lit(","), F.lit(""))).otherwise(v["s"]).alias("n")))
+    x = F.transform(x, lambda v: F.struct(*[v[y].alias(y) for y in "csn"], F.when(point(v["n"]), whole(v["n"])).alias("w"), F.when(point(v["n"]), part(v["n"])).alias("p")))
+    return F.transform(x, lambda v: F.struct(*[v[y].alias(y) for y in "csnwp"], _kind(v, decimal_precision).alias("k")))
+
+
+def _hard(read: Column) -> Column:
+    """Numbers of the cells that need exact arithmetic, null elsewhere; null if there is none."""
+    return F.when(F.exists(read, lambda v: v["k"] == EXACT), F.transform(read, lambda v: F.when(v["k"] == EXACT, v["n"])))
+
+
+def _forms(read: Column, exact: Column, timestamp_precision: int | None) -> Column:
+    """Array of struct(once, twice) of cells as :func:`_read` has them; *exact* has the answers of exact arithmetic."""
+    none = F.lit(None).cast("string")
+
+    def form(v, i):
+        c, s, n, w, p, k = (v[x] for x in "csnwpk")
+        x = F.get(exact, i)
+        minus = n.startswith("-")
+        signed = lambda digits: F.when(digits == "", F.lit("0")).when(minus, F.concat(F.lit("-"), digits)).otherwise(digits)
+        digits = F.when(F.ascii(n).between(49, 57), n).otherwise(signed(F.ltrim(n, F.lit("+-0"))))
+        fraction = F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), F.when(w == "", F.lit("0")).otherwise(w), F.lit("."), p)
+        stamp = F.concat(F.regexp_extract(s, STAMP, 1), F.lit(" "), F.regexp_extract(s, STAMP, 2))
+        full = stamp
+        if timestamp_precision:
+            kept = F.rpad(F.substring(F.regexp_extract(s, r"\.(\p{Nd}+)$", 1), 1, timestamp_precision), timestamp_precision, "0")
+            full = F.when(s.contains("."), F.concat(stamp, F.lit("."), kept)).otherwise(stamp)
+        once = (
+            F.when(k == TEXT, c).when(k == NULL, none).when(k == INTEGER, digits).when(k == DECIMAL, F.when(p == "", signed(w)).otherwise(fraction))
+            .when(k == TRUTH, F.when(F.lower(s).isin(*TRUE), F.lit("true")).otherwise(F.lit("false"))).when(k == DATE, s)
+            .when(k == STAMPED, full).otherwise(F.coalesce(F.split_part(x, F.lit(" "), F.lit(1)), c))
+        )
+        again = F.when(k == STAMPED, stamp) if timestamp_precision else None
+        second = F.when(x.isNotNull(), F.nullif(F.split_part(x, F.lit(" "), F.lit(2)), F.lit(""))).otherwise(c)
+        again = again.when(k == EXACT, second) if again is not None else F.when(k == EXACT, second)
+        return F.struct(once.alias("once"), again.alias("again"), ((k == EXACT) | ((k == STAMPED) & F.lit(bool(timestamp_precision)))).alias("other"))
 
+    return F.transform(F.transform(read, form), lambda f: F.struct(f["once"].alias("once"), F.when(f["other"], f["again"]).otherwise(f["once"]).alias("twice")))
 
-def canonical_pair(
-    c: Column, normalise: bool = True, timestamp_precision: int | None = None, decimal_precision: int = 6, exact_floats: bool = True
-) -> Column:
-    """struct(once, twice): the canonical form of *c*, and that of its canonical form.
 
-    They differ only for floats (0.000000001 is 0.0, which is 0) and for timestamps that keep a fraction.
+def _skipped(c: Column) -> Column:
+    """struct(once, twice) without normalisation."""
+    kept = F.when(~F.lower(strip(c)).isin("", "nan", "nat"), c)
+    return F.struct(kept.alias("once"), kept.alias("twice"))
+
+
+def with_canonical(
+    df: DataFrame, columns: list[str], out: str, normalise: bool = True, timestamp_precision: int | None = None, decimal_precision: int = 6, exact_floats: bool = True,
+) -> DataFrame:
+    """*df* with *out*, an array with a struct (once, twice) for each of *columns*.
+
+    *once* is the canonical form of a cell and *twice* that of its canonical form.  They differ only for floats
+    (0.000000001 is 0.0, which is 0) and for timestamps that keep a fraction.  The cells of a row are one array and
+    each rule one expression over it, so that plans are as small for a thousand columns as for one; a row calls
+    Python only if one of its cells needs exact arithmetic.
     """
-    none = F.lit(None).cast("string")
-    pair = lambda x, y=None: F.struct(x.alias("once"), (x if y is None else y).alias("twice"))
+    cells = F.array(*[F.col(f"`{c}`") for c in columns])
     if not normalise:
-        return pair(F.when(F.lower(strip(c)).isin("", "nan", "nat"), none).otherwise(c))
-
-    def is_int(plain):
-        return plain.rlike(r"^[+-]?[0-9]+$")
-
-    def is_cut(plain):
-        """Decimal notation whose shortest text is its digits without leading and trailing zeros."""
-        whole, part = F.regexp_extract(plain, WHOLE, 1), F.regexp_extract(plain, PART, 1)
-        few = F.length(whole) + F.length(part) <= 15
-        sized = (whole != "") | ~part.startswith("0000")
-        return plain.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)$") & few & ((part == "") | (sized & (F.length(part) <= decimal_precision)))
-
-    def is_word(low):
-        return low.isin(*NULLS, *TRUE, *FALSE)
-
-    def hard(s):
-        """The number that needs exact arithmetic, else null."""
-        odd = lambda n: F.when(n.rlike(MAYBE_NUMBER) & (n != "") & ~is_int(n) & ~is_cut(n), n)
-        return F.when((c == s) & ~is_word(F.lower(s)) & ~s.rlike(STAMP), let(F.replace(s, F.lit(","), F.lit("")), odd))
-
-    exact = _rounded(decimal_precision)(let(strip(c), hard)) if exact_floats else none
-
-    def stamped(s):
-        base = F.concat(F.regexp_extract(s, STAMP, 1), F.lit(" "), F.regexp_extract(s, STAMP, 2))
-        if not timestamp_precision:
-            return pair(base)
-        digits = F.rpad(F.substring(F.regexp_extract(s, r"\.(\p{Nd}+)$", 1), 1, timestamp_precision), timestamp_precision, "0")
-        return pair(F.when(s.contains("."), F.concat(base, F.lit("."), digits)).otherwise(base), base)
-
-    def signed(plain, digits):
-        return F.when(plain.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
-
-    def number(plain):
-        digits = let(F.regexp_extract(plain, r"^[+-]?0*([0-9]+)$", 1), lambda d: signed(plain, d))
-        whole = let(F.regexp_extract(plain, WHOLE, 1), lambda w: F.when(w == "", F.lit("0")).otherwise(w))
-        minus = F.when(plain.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-        decimal = let(F.regexp_extract(plain, PART, 1), lambda d: F.when(d == "", let(whole, lambda w: signed(plain, w))).otherwise(F.concat(minus, whole, F.lit("."), d)))
-        return F.when(is_int(plain), F.when(F.length(plain) > MOST_DIGITS, c).otherwise(digits)).when(is_cut(plain), decimal).otherwise(c)
-
-    def form(v):
-        s, exact = v["s"], v["x"]
-        word = lambda low: F.when(low.isin(*TRUE), F.lit("true")).when(low.isin(*FALSE), F.lit("false"))
-        low = F.lower(s)
-        rounded = let(exact, lambda x: pair(F.split_part(x, F.lit(" "), F.lit(1)), F.nullif(F.split_part(x, F.lit(" "), F.lit(2)), F.lit(""))))
-        text = let(F.replace(s, F.lit(","), F.lit("")), number)
-        return (
-            F.when(c.isNull() | low.isin(*NULLS), pair(none))
-            .when(low.isin(*TRUE, *FALSE), pair(let(low, word)))
-            .when(s.rlike(STAMP + r"(\.\p{Nd}+)?$"), stamped(s))
-            .when(s.rlike(ISO), pair(s))
-            .when(exact.isNotNull(), rounded)
-            .when(c == s, let(text, lambda t: pair(t)))
-            .otherwise(pair(c))
-        )
+        return df.withColumn(out, F.transform(cells, _skipped))
+    keep = df.columns
+    df = df.withColumn("__c_read", _read(cells, decimal_precision))
+    exact = F.array().cast("array<string>")
+    if exact_floats:
+        df = df.withColumn("__c_exact", _rounded(decimal_precision)(_hard(F.col("__c_read"))))
+        exact = F.col("__c_exact")
+    return df.select(*[F.col(f"`{c}`") for c in keep], _forms(F.col("__c_read"), exact, timestamp_precision).alias(out))
 
-    return let(F.struct(strip(c).alias("s"), exact.alias("x")), form)  # a Python UDF may not stand inside a lambda
+
+def canonical_pair(
+    c: Column, normalise: bool = True, timestamp_precision: int | None = None, decimal_precision: int = 6, exact_floats: bool = True
+) -> Column:
+    """struct(once, twice) of one cell as an expression; for tables there is :func:`with_canonical`."""
+    if not normalise:
+        return _skipped(c)
+    read = _read(F.array(c), decimal_precision)
+    exact = _rounded(decimal_precision)(_hard(read)) if exact_floats else F.array().cast("array<string>")
+    # a Python UDF may not stand inside a lambda
+    return let(F.struct(read.alias("r"), exact.alias("x")), lambda v: F.get(_forms(v["r"], v["x"], timestamp_precision), F.lit(0)))
 
 
 def canonical(c: Column, **settings) -> Column:
-    """Canonical form of *c*; see :func:`canonical_pair`."""
+    """Canonical form of *c*; see :func:`with_canonical`."""
     return canonical_pair(c, **settings)["once"]

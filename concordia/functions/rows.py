@@ -26,8 +26,13 @@ def full_row(cells: list[Column]) -> Column:
 
 def row_hash(cells: list[Column]) -> Column:
     """First 32 hex digits of the SHA-256 of the lower-cased canonical cells, joined by NUL."""
-    parts = [F.coalesce(F.lower(c), F.lit("\x01NULL")) for c in cells]
-    return F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 32)
+    return row_hash_of(F.array(*cells))
+
+
+def row_hash_of(cells: Column) -> Column:
+    """:func:`row_hash` of an array of cells."""
+    parts = F.transform(cells, lambda c: F.coalesce(F.lower(c), F.lit("\x01NULL")))
+    return F.substring(F.sha2(F.concat_ws("\x00", parts), 256), 1, 32)
 
 
 def same_cell(a: Column, b: Column, ignore_case: bool = True) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.functions.canonical import canonical_pair
-from concordia.functions.rows import row_hash
+from concordia.functions.canonical import with_canonical
+from concordia.functions.rows import row_hash_of
 from concordia.options import Options
 
 RID, HASH, ORIG, ONCE, TWICE = "__c_rid", "__c_hash", "__c_orig", "__c_once", "__c_twice"
@@ -45,23 +47,38 @@ def common_columns(source: DataFrame, target: DataFrame) -> tuple[list[str], lis
     return both, sorted(set(source.columns) - set(both)), sorted(set(target.columns) - set(both))
 
 
+def few_partitions(df: DataFrame) -> int:
+    """How many partitions *df* should be spread over because its scan has fewer than there are cores; else 0.
+
+    Only plans without a shuffle are asked: others would run for the answer.
+    """
+    plan = df._jdf.queryExecution()
+    if re.search("Aggregate|Join|Sort|Window|Exchange|Python|Arrow|Pandas", plan.sparkPlan().toString()):
+        return 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if plan.toRdd().getNumPartitions() < cores else 0
+
+
 def prepared(df: DataFrame, columns: list[str], options: Options) -> DataFrame:
-    """rid, hash, original cells, canonical cells and twice canonical cells; one narrow pass.
+    """rid, hash, original cells, canonical cells and twice canonical cells; one pass, narrow unless
+    the input has fewer partitions than there are cores.
 
     Row ids rise with the partition and the place in it, so that id order is input order, or the order of
     ``order_by``; the caller stages the result before it is used twice.
     """
     if options.order_by:
         df = df.orderBy(*[c.upper() for c in options.order_by])
+    spread = few_partitions(df)
     df = df.select(*[F.col(f"`{c}`") for c in columns]).withColumn(RID, F.monotonically_increasing_id())
+    if spread:  # a file of one row group is one task; the ids keep its order
+        df = df.repartition(spread, RID)
     settings = {
         "normalise": options.normalise, "timestamp_precision": options.timestamp_precision,
         "decimal_precision": options.decimal_precision, "exact_floats": options.exact_floats,
     }
-    pairs = df.select(RID, *[F.col(f"`{c}`") for c in columns], *[canonical_pair(F.col(f"`{c}`"), **settings).alias(f"__c_{i}") for i, c in enumerate(columns)])
-    once = [F.col(f"__c_{i}.once") for i in range(len(columns))]
-    twice = [F.col(f"__c_{i}.twice") for i in range(len(columns))] if options.strict_parity else once
-    struct = lambda cells: F.struct(*[x.alias(c) for x, c in zip(cells, columns, strict=True)])
-    return pairs.select(
-        RID, row_hash(twice).alias(HASH), struct([F.col(f"`{c}`") for c in columns]).alias(ORIG), struct(once).alias(ONCE), struct(twice).alias(TWICE)
-    )
+    pairs = with_canonical(df, columns, "__c_pairs", **settings)
+    struct = lambda field: F.struct(*[F.get("__c_pairs", F.lit(i))[field].alias(c) for i, c in enumerate(columns)])
+    second = "twice" if options.strict_parity else "once"
+    hashed = F.transform("__c_pairs", lambda v: v[second])
+    original = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return pairs.select(RID, row_hash_of(hashed).alias(HASH), original.alias(ORIG), struct("once").alias(ONCE), struct(second).alias(TWICE))
