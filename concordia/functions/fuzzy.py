@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +34,21 @@ def fuzzy_index_key(names: list[str], cells: list[Column]) -> Column:
 
 
 def as_number(c: Column) -> Column:
-    """A canonical cell's number, null if it is none; commas are dropped."""
-    return let(F.replace(c, F.lit(","), F.lit("")), _number)
+    """The number that a cell's text says, null if it says none: outer blanks and commas are dropped, single underscores
+    may stand between digits, and digits may be those of any script."""
+    return let(strip(F.replace(c, F.lit(","), F.lit(""))), lambda t: let(F.when(t.rlike(r"^[\x00-\x7f]*$"), t).otherwise(F.translate(t, *_digits())), _number))
+
+
+@cache
+def _digits() -> tuple[str, str]:
+    """All decimal digits of Unicode beyond ASCII, and what they stand for."""
+    found = [chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(x)) for x in found)
 
 
 def _number(t: Column) -> Column:
-    number = F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    run = "[0-9]+(_[0-9]+)*"
+    number = F.when(t.rlike(rf"^[+-]?({run}\.?({run})?|\.{run})([eE][+-]?{run})?$"), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
     sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     infinite = F.when(F.lower(t).rlike("^[+-]?inf(inity)?$"), sign * F.lit(float("inf")))
     return F.coalesce(number, infinite, F.when(F.lower(t).rlike("^[+-]?nan$"), F.lit(float("nan"))))

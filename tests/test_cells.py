@@ -68,3 +68,20 @@ def test_fuzzy_equality_is_the_models(spark):
     got = [r["v"] for r in df.select("i", fuzzy_equal(F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()]
     for p, c, g in zip(pairs, canonical_, got, strict=True):
         assert (p, g) == (p, verdict(*c)[0])
+
+
+def test_cogroup_and_column_agree(spark):
+    """The pairing of large groups and the expression for single pairs give one answer."""
+    from concordia.operators.pairing import read_cell, similar_cells
+
+    rng = random.Random(4)
+    pool = [*CELLS, " 5 ", "77", "1_000", "1001", "１２", "15", "٣٤.５", "inf", "-inf", "nan", "abc", "A-B/C", "a b c d", "ab", "abcd", "x" * 40, "x" * 43, "100000", "100900", "1 0"]
+    pairs = [(" 5 ", "77"), ("1_000", "1001"), ("１２", "15")] + [(rng.choice(pool), rng.choice(pool)) for _ in range(10_000)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").repartition(8)
+    cols = [x.alias(f"{side}{k}") for side in "ab" for k, x in enumerate(read_cell(F.col(side)))]
+    similar = similar_cells(100.0, 0.01)
+    rows = df.select("i", fuzzy_equal(F.col("a"), F.col("b")).alias("v"), *cols).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        assert similar(tuple(r[f"a{k}"] for k in range(4)), tuple(r[f"b{k}"] for k in range(4))) == (r["v"] != "DIFFERENT"), pairs[r["i"]]
+    assert {r["v"] for r in rows if r["i"] < 3} == {"FUZZY_NUMERIC"}
