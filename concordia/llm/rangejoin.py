@@ -1,18 +1,21 @@
 """Embedding near-duplicates: an exact metric range join.
 
 Unit vectors with cosine >= c are within r = sqrt(2 - 2c) of each other.  Pivots partition the vectors: each
-has its home in the cell of the nearest pivot, and visits every other cell that the triangle inequality
-cannot rule out: a cell is ruled out if the vector is farther than r from the bisector between the two
-pivots, or farther than r from the ball of the cell's home vectors.  So all links of a vector to
-vectors at home in a cell are found inside that cell, and cells join independently, in blocks of bounded
-size however many vectors a cell has.  Copies are one class with a count.  A block finds links by a
-single-precision product with a margin and confirms those near the limit in double precision; it
+has its home in the cell of the nearest pivot, and visits, of every two cells, the one whose turn it is
+if the triangle inequality cannot rule it out: a cell is ruled out if the vector is farther than r from the bisector between the two
+pivots, or farther than r from the ball of the cell's home vectors.  So every pair meets
+in one cell, the home of one of the two, and cells join independently, in blocks of bounded
+size however many vectors a cell has.  Copies are one class with a count.  A block bounds
+cosines by distances to some reference vectors and computes what is left in double precision; it
 returns a link count per vector and a spanning forest of its links, never the pairs.
 
 Defined results: null, zero and non-finite vectors (or ones with such components) link with nothing; so do
 vectors of unequal dimensions with each other; repeated rows are copies and link with each other; a null id
 counts as a vector but is never a component id while its group has another; an empty table gives
-an empty table.
+an empty table; ties (a cosine of exactly the limit) link.
+
+Cost: vectors without clusters in many dimensions are all about equally far apart, so no partition keeps most cells out
+of a vector's reach (the README has figures); there the join is a product of blocks and grows with the square of the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from concordia.llm._common import components, ship, stage
 
-CELL_ROWS, MOST_PIVOTS = 4096, 1024
+CELL_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 4096, 8, 1024
+#: Vectors whose span gives the bound inside a block.
+REFERENCES = 24
 HOME_BLOCK, OTHER_BLOCK = 4096, 16384
 MARGIN = 1e-3
 _EPS = 1e-9
@@ -109,11 +114,27 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def block_links(home: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
-    """Boolean matrix: cosine of each pair >= *least* in double precision."""
-    rough = home.astype(np.float32) @ other.astype(np.float32).T
-    linked = rough >= least + MARGIN
-    i, j = np.nonzero((rough >= least - MARGIN) & ~linked)
+def lifted(v: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates of unit vectors in the span of *basis* and the length of the rest: their product bounds the cosine."""
+    part = v @ basis
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (part * part).sum(1, keepdims=True)))
+    return np.hstack([part, rest]).astype(np.float32)
+
+
+def block_links(home: np.ndarray, other: np.ndarray, least: float, basis: np.ndarray) -> np.ndarray:
+    """Boolean matrix: cosine of each pair >= *least* in double precision.
+
+    Distances to the references bound each cosine from above, in fewer dimensions; the pairs that the bound leaves are
+    computed, or, where it leaves many, the whole single-precision product and the pairs near the limit.
+    """
+    rough = lifted(home, basis) @ lifted(other, basis).T
+    open_ = rough >= least - MARGIN
+    linked = np.zeros(rough.shape, bool)
+    if np.count_nonzero(open_) > open_.size // 50:
+        rough = home.astype(np.float32) @ other.astype(np.float32).T
+        linked = rough >= least + MARGIN
+        open_ = (rough >= least - MARGIN) & ~linked
+    i, j = np.nonzero(open_)
     for a in range(0, len(i), 1 << 18):
         x, y = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
         linked[x, y] = np.einsum("ij,ij->i", home[x], other[y]) >= least
@@ -125,10 +146,12 @@ def range_join(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
     r = math.sqrt(2 - 2 * least) + _EPS
     n = classes.count()
-    wanted = max(1, min(MOST_PIVOTS, n // CELL_ROWS))
+    wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, n // CELL_ROWS))
     # a bounded sample, by hash: pivots decide cost, not results
     sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(min(8 * wanted, 4096)).select("vec").toArrow()
-    pivots = spread_pivots(unit_rows(sample.column("vec").to_pylist()), wanted) if n else np.zeros((1, 1))
+    sample = unit_rows(sample.column("vec").to_pylist()) if n else np.ones((1, 1))
+    pivots = spread_pivots(sample, wanted)
+    basis = np.linalg.qr(sample[:REFERENCES].T)[0]
 
     def homes(batches):
         for batch in batches:
@@ -151,7 +174,10 @@ def range_join(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             near = d[at, home]
             bisector = (d * d - (near * near)[:, None]) <= 2 * r * apart[home] + _EPS
             ball = d <= reach[None, :] + r + _EPS
-            visits = bisector & ball
+            cells = np.arange(len(pivots))[None, :]
+            # of two cells, one has the visitors from the other: every pair meets once
+            turn = ((cells + home[:, None]) % 2 == 0) == (cells < home[:, None])
+            visits = bisector & ball & turn
             visits[at, home] = True
             i, cell = np.nonzero(visits)
             take = pa.array(i)
@@ -167,8 +193,8 @@ def range_join(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     rows = dealt.join(F.broadcast(blocks), "cell").where("hbs > 0")  # at most MOST_PIVOTS rows
     pick = F.shiftrightunsigned(F.xxhash64("cid"), 1)
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    left = rows.where("home").select("cell", (pick % F.col("hbs")).alias("hb"), each("obs").alias("ob"), F.lit(True).alias("left"), "cid", "copies", "vec")
-    right = rows.select("cell", each("hbs").alias("hb"), (pick % F.col("obs")).alias("ob"), F.lit(False).alias("left"), "cid", "copies", "vec")
+    left = rows.where("home").select("cell", (pick % F.col("hbs")).alias("hb"), each("obs").alias("ob"), F.lit(True).alias("left"), "home", "cid", "copies", "vec")
+    right = rows.select("cell", each("hbs").alias("hb"), (pick % F.col("obs")).alias("ob"), F.lit(False).alias("left"), "home", "cid", "copies", "vec")
 
     def join(table: pa.Table) -> pa.Table:
         is_left = table.column("left").to_numpy()
@@ -179,11 +205,14 @@ def range_join(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         if len(rows_) and len(others):
             other = unit_rows([vec[i] for i in others])
             oc, on = cid[others], copies[others]
+            visitor = ~table.column("home").to_numpy()[others]
+            back = np.zeros(len(others), np.int64)
             for at in range(0, len(rows_), 1024):
                 part = rows_[at : at + 1024]
-                linked = block_links(unit_rows([vec[i] for i in part]), other, least)
+                linked = block_links(unit_rows([vec[i] for i in part]), other, least, basis)
                 linked &= cid[part][:, None] != oc[None, :]
                 count = linked @ on
+                back += copies[part] @ linked
                 hit = np.flatnonzero(count)
                 a.append(cid[part][hit])
                 b.append(np.full(len(hit), -1))
@@ -193,6 +222,10 @@ def range_join(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
                     a.append(cid[part][x])
                     b.append(oc[y])
                     n_.append(np.zeros(len(x), np.int64))
+            hit = np.flatnonzero(visitor & (back > 0))  # pairs of two cells meet once and count for both
+            a.append(oc[hit])
+            b.append(np.full(len(hit), -1))
+            n_.append(back[hit])
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({"a": pa.array(cat(a), pa.int64()), "b": pa.array(cat(b), pa.int64()), "n": pa.array(cat(n_), pa.int64())})
 

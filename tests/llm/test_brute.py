@@ -160,10 +160,26 @@ def test_one_permutation_estimates_jaccard():
     assert abs(few.mean() - 0.8) < 0.1
 
 
+def test_links_and_groups_are_those_of_sql(spark):
+    """op2 and op8 against DuckDB on the smallest tables."""
+    import duckdb
+
+    from concordia.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    for name in ("op2_range_join", "op8_minhash"):
+        result = con.execute(queries.oracle_sql()[name])
+        columns = [d[0] for d in result.description]
+        assert sorted(map(tuple, queries.queries()[name](spark, SF).select(*columns).collect())) == sorted(result.fetchall())
+
+
 @pytest.mark.parametrize("cells", [4096, 40])
 def test_range_join(spark, monkeypatch, cells):
     """Groups of near vectors, copies and noise; with small cells, replication over boundaries is exercised."""
     monkeypatch.setattr(rangejoin, "CELL_ROWS", cells)
+    monkeypatch.setattr(rangejoin, "LEAST_PIVOTS", 1 if cells == 4096 else 8)
     monkeypatch.setattr(rangejoin, "HOME_BLOCK", 64)
     monkeypatch.setattr(rangejoin, "OTHER_BLOCK", 128)
     rng = np.random.default_rng(5)
@@ -184,6 +200,17 @@ def test_range_join(spark, monkeypatch, cells):
     assert got == {i: (int(linked[i].sum()), int(label[i])) for i in range(len(v))}
 
 
+def test_block_links_are_exact():
+    """With few and with many pairs that the bound leaves open, and a basis of fewer dimensions than the vectors."""
+    rng = np.random.default_rng(3)
+    for spread, dim in ((0.05, 8), (1.0, 8), (1.0, 64), (0.3, 64)):
+        v = rng.normal(size=(5, dim))[rng.integers(0, 5, 300)] + rng.normal(scale=spread, size=(300, dim))
+        v /= np.sqrt((v * v).sum(1))[:, None]
+        for k in (1, 5, 24):
+            basis = np.linalg.qr(v[:k].T)[0]
+            assert (rangejoin.block_links(v[:200], v[100:], 0.95, basis) == (v[:200] @ v[100:].T >= 0.95)).all()
+
+
 def test_spanning_forest_connects():
     rng = np.random.default_rng(1)
     for _ in range(20):
