@@ -2,7 +2,7 @@
 
 Lines come from ``spark.read.text``, so a file is split over tasks and nothing is copied.  Widths decide what
 ``spark.read.csv`` would get silently wrong: lines wider than the header and the first data line are
-dropped, shorter ones padded with empty cells, and if the data are wider than the header from the
+left out with a warning that counts them, shorter ones padded with empty cells, and if the data are wider than the header from the
 start, their leading cells are row labels and not data.
 """
 
@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import csv
 import io
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.sources.lines import ROW_TEXT_NAMES, cleaned_lines, expand_row_text, file_delimiters
 
+log = logging.getLogger(__name__)
 ORDER = "__c_line"
 
 
@@ -87,7 +89,10 @@ def read_delimited(spark: SparkSession, path: str, escape: str | None = None, ke
         one = rows.orderBy(ORDER).select(F.size("cells").alias("n")).first()
         wide = one["n"] if one else len(names)
         label = max(0, wide - len(names))
-        rows = rows.where(F.size("cells") <= max(wide, len(names)))
+        fits = F.size("cells") <= max(wide, len(names))
+        if over := rows.where(~fits).count():
+            log.warning("%s: %d lines are wider than the first and are left out", path, over)
+        rows = rows.where(fits)
         if label:
             rows = rows.withColumn("cells", F.expr(f"slice(cells, {label + 1}, greatest(size(cells) - {label}, 0))"))
         df = _named(rows, names)
