@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import components, ship, spread_join, stage
+from concordia.llm._common import LEAST_HOT, components, ship, spread_join, stage
 
 BANDS, ROWS = 32, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -168,7 +168,7 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     flat = stage(sets.mapInArrow(run, "cid long, shingle long"), "shingles")
     shared = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = flat.join(shared, "shingle")
+    held = spread_join(flat, shared.withColumn("rows", F.col("n")), ["shingle"], "rows", flat.count())
     own = held.groupBy("cid").agg(F.count(F.lit(1)).alias("n_shared"))
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))
     held = held.withColumn("rank", rank).join(own, "cid").join(members, "cid")
@@ -176,11 +176,15 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = stage(held.select("shingle", "cid", "root", F.col("n_shingles").alias("size"), "left"), "prefixes")
     # every pair of two roots has a member outside the shingle's largest root: its members never meet each other
     per = held.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = per.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    held = held.join(major.select("shingle", F.col("m.root").alias("major")), "shingle")
-    x, y = held.where("root <> major").alias("x"), held.alias("y")
+    major = per.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("rows")).where("roots > 1")
+    parts = (F.floor(F.col("rows") / LEAST_HOT) + 1).cast("int").alias("parts")
+    held = stage(spread_join(held, major.select("shingle", F.col("m.root").alias("major"), parts, "rows"), ["shingle"], "rows", held.count()), "shared-prefixes")
+    # a common shingle's rows are dealt over parts, and those outside its largest root sent to each of them
+    x = held.where("root <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+    y = held.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("y")
     reach = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & reach)
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part"))
+    pairs = x.join(y, same & (F.col("x.root") != F.col("y.root")) & reach)
     return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
