@@ -13,8 +13,10 @@ Clustering: the ``frequent`` commonest words of the training texts exchange clas
 tokens.  The commonest words start as classes of their own (as in Brown et al. 1992); each pass counts
 every word's neighbours' classes over the corpus, and then moves word after word to the class that gains most
 log-likelihood (Kneser and Ney 1993), each move seen by the words after it; a pass that loses
-likelihood ends the exchange with the classes before it.  All other words of the training texts then choose their
-class once, from all their occurrences, all other words fixed.
+likelihood ends the exchange with the classes before it.  All other words of the training texts then choose a
+class from all their occurrences, and exchange in ``rest_passes`` further passes dealt over all shards: each sees the
+classes of all its neighbours, rare ones included, and moves by the same gain, against the class matrix of the pass's
+start without its own counts.  A pass that loses likelihood is taken back.
 
 Smoothing: class transitions are shrunk to class frequencies; a word not seen in training is a class by itself,
 whose probability after a class is the Good-Turing share of words seen once there.  Over the training
@@ -26,6 +28,8 @@ without training texts the score is the base score; an empty table gives an empt
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm._common import release, ship, stage
 
-CLASSES, FREQUENT, PASSES = 64, 1 << 14, 5
+CLASSES, FREQUENT, PASSES, REST_PASSES = 64, 1 << 14, 5, 1
 CHUNK_TOKENS = 2_000_000
 #: Chunks that one task of a counting pass takes: it returns no more cells than a class matrix of FREQUENT words has.
 TASK_CHUNKS = 10
@@ -309,6 +313,52 @@ def runs(times: np.ndarray) -> np.ndarray:
     return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
+BLOCK = 100_000
+
+
+def neighbour_rows(vocab: np.ndarray, own: np.ndarray, prev: np.ndarray, nxt: np.ndarray, shards: int) -> list[tuple]:
+    """For every shard its distinct words once, their numbers of occurrences (x), and those's neighbour classes (y)."""
+    order = np.argsort(own, kind="stable")
+    own, prev, nxt = own[order], prev[order].astype(np.uint8), nxt[order].astype(np.uint8)
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    times = np.diff(np.r_[first, len(own)])
+    h = vocab[own[first]]
+    rows = []
+    for s, at in shards_of(h, shards):
+        each = np.repeat(first[at], times[at]) + runs(times[at])
+        rows.append((s, 1, 0, h[at].tobytes(), times[at].astype(np.int32).tobytes(), prev[each].tobytes() + nxt[each].tobytes()))
+    return rows
+
+
+def gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A shard's words, counts and classes, and its occurrences by word: word, class before, class after."""
+    h, n, c = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
+    own, prev, nxt = [h], [c], [c]
+    for i, what in enumerate(table.column("kind").to_pylist()):
+        y = table.column("y")[i]
+        if what == 0:
+            h, n = _array(table.column("h")[i], np.uint64), _array(table.column("x")[i], np.int64)
+            c = _array(y, np.uint8) if y.is_valid else c
+        else:
+            both = _array(y, np.uint8)
+            own.append(np.repeat(_array(table.column("h")[i], np.uint64), _array(table.column("x")[i], np.int32)))
+            prev.append(both[: len(both) // 2])
+            nxt.append(both[len(both) // 2 :])
+    own, prev, nxt = np.concatenate(own), np.concatenate(prev), np.concatenate(nxt)
+    order = np.argsort(own, kind="stable")
+    return h, n, c, own[order], prev[order], nxt[order]
+
+
+def word_blocks(own: np.ndarray):
+    """Whole words of the sorted *own* at a time, about BLOCK occurrences: where each starts, and the block's ends."""
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK)))
+        yield starts[a:b], int(starts[a]), int(starts[b]) if b < len(starts) else len(own)
+        a = b
+
+
 def lexicon(chunks: DataFrame, counts: DataFrame, words: np.ndarray, classes: np.ndarray, matrix: np.ndarray, k: int, shards: int) -> DataFrame:
     """Rows of *counts* with a class for every word: y of kind 0."""
     rare, start, end = k, k + 1, k + 2
@@ -332,49 +382,21 @@ def lexicon(chunks: DataFrame, counts: DataFrame, words: np.ndarray, classes: np
                 ok = (c == rare) & (held[owner] == 0)[inner]
                 if not ok.any():
                     continue
-                # every distinct word once, with its number of occurrences and then their neighbours
-                order_ = np.argsort(ids[ok], kind="stable")
-                own, prev, nxt = ids[ok][order_], prev[ok][order_].astype(np.uint8), nxt[ok][order_].astype(np.uint8)
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                times = np.diff(np.r_[first, len(own)])
-                h = vocab[own[first]]
-                rows = []
-                for s, at in shards_of(h, shards):
-                    each = np.repeat(first[at], times[at]) + runs(times[at])
-                    rows.append((s, 1, 0, h[at].tobytes(), times[at].astype(np.int32).tobytes(), prev[each].tobytes() + nxt[each].tobytes()))
+                rows = neighbour_rows(vocab, ids[ok], prev[ok], nxt[ok], shards)
                 yield packed_rows(rows)
 
     def take(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_pylist()
-        h = n = None
-        own, prev, nxt = [], [], []
-        for i, what in enumerate(kind):
-            if what == 0:
-                h, n = _array(table.column("h")[i], np.uint64), _array(table.column("x")[i], np.int64)
-            else:
-                both = _array(table.column("y")[i], np.uint8)
-                own.append(np.repeat(_array(table.column("h")[i], np.uint64), _array(table.column("x")[i], np.int32)))
-                prev.append(both[: len(both) // 2])
-                nxt.append(both[len(both) // 2 :])
+        h, n, _, own, prev, nxt = gathered(table)
         c = classed(h)
-        if own:
-            own, prev, nxt = np.concatenate(own), np.concatenate(prev), np.concatenate(nxt)
-            order = np.argsort(own, kind="stable")
-            own, prev, nxt = own[order], prev[order], nxt[order]
-            firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            a = 0
-            while a < len(firsts):  # whole words at a time, about 100,000 occurrences
-                b = max(a + 1, int(np.searchsorted(firsts, firsts[a] + 100_000)))
-                lo, hi = int(firsts[a]), int(firsts[b]) if b < len(firsts) else len(own)
-                score = np.zeros((b - a, k), np.float32)
-                for x in range(lo, hi, 100_000):
-                    y = min(x + 100_000, hi)
-                    v = l[prev[x:y]] + r[nxt[x:y]]
-                    word = np.searchsorted(firsts[a:b], np.arange(x, y), side="right") - 1
-                    cuts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                    score[word[cuts]] += np.add.reduceat(v, cuts, axis=0)
-                c[np.searchsorted(h, own[firsts[a:b]])] = score.argmax(1)
-                a = b
+        for firsts, lo, hi in word_blocks(own):
+            score = np.zeros((len(firsts), k), np.float32)
+            for x in range(lo, hi, BLOCK):
+                y = min(x + BLOCK, hi)
+                v = l[prev[x:y]] + r[nxt[x:y]]
+                word = np.searchsorted(firsts, np.arange(x, y), side="right") - 1
+                cuts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                score[word[cuts]] += np.add.reduceat(v, cuts, axis=0)
+            c[np.searchsorted(h, own[firsts])] = score.argmax(1)
         row = (table.column("shard")[0].as_py(), 0, 0, h.tobytes(), n.tobytes(), c.astype(np.uint8).tobytes())
         return pa.Table.from_batches([packed_rows([row])])
 
@@ -416,6 +438,83 @@ def looked_up(chunks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
     return words.unionByName(asked).groupBy("shard").applyInArrow(answer, SHARD)
 
 
+def exchange_gains(prev: np.ndarray, nxt: np.ndarray, word: np.ndarray, own: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Log-likelihood of each word in each class, but for a constant of the word: *word* tells whose each occurrence is,
+    *own* the words' classes, whose counts are in *n* and are taken out first.  A word beside itself counts as its class."""
+    g = lambda x: x * np.log(np.maximum(x, 1.0))
+    wide, n, m = len(n), n.astype(float), len(own)
+    gain = np.zeros((m, k))
+    for neighbour, by in ((nxt, n[:k]), (prev, n[:, :k].T)):
+        key, x = np.unique(word * wide + neighbour.astype(np.int64), return_counts=True)
+        w, j, x = key // wide, key % wide, x.astype(float)
+        for a in range(0, len(w), BLOCK):
+            at = slice(a, a + BLOCK)
+            there = by[:, j[at]].T
+            more = g(there + x[at, None]) - g(there)
+            here = by[own[w[at]], j[at]]
+            more[np.arange(len(here)), own[w[at]]] = g(here) - g(np.maximum(here - x[at], 0.0))
+            cuts = np.flatnonzero(np.r_[True, w[at][1:] != w[at][:-1]])
+            gain[w[at][cuts]] += np.add.reduceat(more, cuts, axis=0)
+        total, margin = np.bincount(word, minlength=m).astype(float), by.sum(1)
+        less = g(margin + total[:, None]) - g(margin)
+        less[np.arange(m), own] = g(margin[own]) - g(np.maximum(margin[own] - total, 0.0))
+        gain -= less
+    return gain
+
+
+def rest_pass(chunks: DataFrame, answers: DataFrame, words: DataFrame, fixed: np.ndarray, matrix: np.ndarray, k: int, shards: int) -> DataFrame:
+    """Rows of *words* (``lexicon``) after every word that is not in *fixed* has moved to its best class."""
+    start, end = k + 1, k + 2
+    fixed = np.sort(fixed)
+
+    def give(table: pa.Table) -> pa.Table:
+        whole, n, c = chunk_words(table)
+        held, lens = _array(table.column("held")[whole], np.uint8), _array(table.column("lens")[whole], np.int64)
+        ids, vocab = unsqueezed(table.column("ids")[whole].as_py()), _array(table.column("vocab")[whole], np.uint64)
+        hist, tgt, owner = sequences(held, lens, c[ids], start, end)
+        inner = tgt != end
+        free = ~np.isin(vocab, fixed) & (n > 0)
+        ok = free[ids] & (held[owner] == 0)[inner]
+        prev, nxt = hist[inner][ok], np.r_[tgt[1:], end][inner][ok]
+        return pa.Table.from_batches([packed_rows(neighbour_rows(vocab, ids[ok], prev, nxt, shards) if ok.any() else [])])
+
+    def take(table: pa.Table) -> pa.Table:
+        h, n, c, own, prev, nxt = gathered(table)
+        c = c.copy()
+        for firsts, lo, hi in word_blocks(own):
+            at = np.searchsorted(h, own[firsts])
+            word = np.searchsorted(firsts, np.arange(lo, hi), side="right") - 1
+            gain = exchange_gains(prev[lo:hi], nxt[lo:hi], word, c[at].astype(np.int64), matrix, k)
+            stay = gain[np.arange(len(at)), c[at]]
+            c[at] = np.where(gain.max(1) > stay + 1e-9, gain.argmax(1), c[at])
+        row = (table.column("shard")[0].as_py(), 0, 0, h.tobytes(), n.tobytes(), c.tobytes())
+        return pa.Table.from_batches([packed_rows([row])])
+
+    seen = with_answers(chunks, answers).groupBy("chunk").applyInArrow(give, SHARD)
+    return words.unionByName(seen).groupBy("shard").applyInArrow(take, SHARD)
+
+
+def chunk_words(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of a group of ``with_answers``: the row with the texts, and its words' counts and classes."""
+    whole = next(i for i, x in enumerate(table.column("ids")) if x.is_valid)
+    size = len(table.column("vocab")[whole].as_py()) // 8
+    n, c = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for i in range(table.num_rows):
+        if i != whole:
+            at = _array(table.column("h")[i], np.int32)
+            n[at] = unsqueezed64(table.column("x")[i].as_py())
+            c[at] = _array(table.column("y")[i], np.uint8)
+    return whole, n, c
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of *chunks*, and those of ``looked_up`` beside them."""
+    none = lambda t: F.lit(None).cast(t)
+    left = chunks.select("chunk", "doc_id", "held", "lens", "ids", "vocab", *[none("binary").alias(x) for x in ("h", "x", "y")])
+    right = answers.select("chunk", none("array<long>").alias("doc_id"), *[none("binary").alias(x) for x in ("held", "lens", "ids", "vocab")], "h", "x", "y")
+    return left.unionByName(right)
+
+
 CLASSED = "kind int, doc_id array<long>, lens binary, held binary, classes binary, known binary, base binary, emission binary, matrix binary"
 
 
@@ -426,15 +525,9 @@ def classed_chunks(chunks: DataFrame, answers: DataFrame, class_sums: np.ndarray
     bottom = float(tokens + types + 1)
 
     def run(table: pa.Table) -> pa.Table:
-        whole = next(i for i, x in enumerate(table.column("ids")) if x.is_valid)
+        whole, n, c = chunk_words(table)
         held, lens = _array(table.column("held")[whole], np.uint8), _array(table.column("lens")[whole], np.int64)
-        ids, size = unsqueezed(table.column("ids")[whole].as_py()), table.column("words")[whole].as_py()
-        n, c = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for i in range(table.num_rows):
-            if i != whole:
-                at = _array(table.column("h")[i], np.int32)
-                n[at] = unsqueezed64(table.column("x")[i].as_py())
-                c[at] = _array(table.column("y")[i], np.uint8)
+        ids = unsqueezed(table.column("ids")[whole].as_py())
         c[n == 0] = unseen
         base = np.log10((n + 1) / bottom)
         emission = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(class_sums[np.minimum(c, k - 1)], 1)), 0.0)
@@ -466,10 +559,7 @@ def classed_chunks(chunks: DataFrame, answers: DataFrame, class_sums: np.ndarray
             }
         )
 
-    none = lambda t: F.lit(None).cast(t)
-    left = chunks.select("chunk", "doc_id", "held", "lens", "ids", (F.length("vocab") / 8).cast("long").alias("words"), none("binary").alias("h"), none("binary").alias("x"), none("binary").alias("y"))
-    right = answers.select("chunk", none("array<long>").alias("doc_id"), *[none("binary").alias(x) for x in ("held", "lens", "ids")], none("long").alias("words"), "h", "x", "y")
-    return left.unionByName(right).groupBy("chunk").applyInArrow(run, CLASSED)
+    return with_answers(chunks, answers).groupBy("chunk").applyInArrow(run, CLASSED)
 
 
 def transition_logs(matrix: np.ndarray, k: int, tokens: int) -> np.ndarray:
@@ -494,8 +584,20 @@ def transition_logs(matrix: np.ndarray, k: int, tokens: int) -> np.ndarray:
     return logs
 
 
-def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLASSES, frequent: int = FREQUENT, passes: int = PASSES) -> DataFrame:
-    """One row per document: the contract's columns, learning from the documents outside *fold*."""
+@dataclass
+class Model:
+    """What was learned, and the texts in its classes."""
+
+    ready: DataFrame
+    words: DataFrame
+    logs: np.ndarray
+    classes: int
+    docs: int
+    tokens: int
+
+
+def learned(docs: DataFrame, folds: int, fold: int, k: int, frequent: int, passes: int, rest_passes: int) -> Model:
+    """The model of the documents outside *fold*."""
     chunks = stage(chunks_of(docs, folds, fold), "chunks")
     sizes = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("vocab") / 8).alias("entries")).first()
     need = max(1.0, (sizes["entries"] or 0) / SHARD_ENTRIES * 2)
@@ -524,6 +626,23 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLA
     words = top.column("h").to_numpy().view(np.uint64)
     classes, matrix = exchange(chunks, words, k, passes, sizes["chunks"])
     lex = stage(lexicon(chunks, counts, words, classes, matrix, k, shards), "lexicon")
+    ready, answers, final = in_classes(chunks, lex, tokens, types, docs_, k, shards)
+    for turn in range(rest_passes if docs_ else 0):
+        moved = stage(rest_pass(chunks, answers, lex, words, final[:, : k + 3], k, shards), f"rest-{turn}")
+        found = in_classes(chunks, moved, tokens, types, docs_, k, shards)
+        if seen_likelihood(found[2], k) <= seen_likelihood(final, k):
+            break
+        lex, (ready, answers, final) = moved, found
+    return Model(ready, lex, transition_logs(final, k, tokens), k, docs_, tokens)
+
+
+def seen_likelihood(final: np.ndarray, k: int) -> float:
+    """``likelihood`` of a matrix of ``classed_chunks``, without its row of repeated counts."""
+    return likelihood(np.delete(final[:, : k + 3], k, axis=0))
+
+
+def in_classes(chunks: DataFrame, lex: DataFrame, tokens: int, types: int, docs: int, k: int, shards: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The chunks in the classes of *lex*, the answers that says so, and the class matrix of all training tokens."""
 
     def sums(batches):
         for batch in batches:
@@ -534,12 +653,12 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLA
     class_sums = np.zeros(k)
     for row in lex.select("x", "y").mapInArrow(sums, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # a row per class
         class_sums[row["c"]] = row["n"]
-    release(docs.sparkSession)
-    answers = looked_up(chunks, lex, shards)
-    ready = stage(classed_chunks(chunks, answers, class_sums, tokens, types, docs_, k), "classed")
+    release(chunks.sparkSession)
+    answers = stage(looked_up(chunks, lex, shards), "answers")
+    ready = stage(classed_chunks(chunks, answers, class_sums, tokens, types, docs, k), "classed")
 
     def added(batches):
-        wide, total = k + 3, None
+        total = None
         for batch in batches:
             for m in batch.column(0).to_pylist():
                 x = np.frombuffer(m, np.int64)
@@ -551,7 +670,15 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLA
     final = np.zeros((k + 3) * (k + 4), np.int64)
     for row in ready.select("matrix").mapInArrow(added, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # cells of the class matrix
         final[row["cell"]] = row["n"]
-    logs = transition_logs(final.reshape(k + 3, k + 4), k, tokens)
+    return ready, answers, final.reshape(k + 3, k + 4)
+
+
+def score_documents(
+    docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLASSES, frequent: int = FREQUENT, passes: int = PASSES, rest_passes: int = REST_PASSES
+) -> DataFrame:
+    """One row per document: the contract's columns, learning from the documents outside *fold*."""
+    model = learned(docs, folds, fold, k, frequent, passes, rest_passes)
+    logs, docs_, tokens = model.logs, model.docs, model.tokens
 
     def finish(batches):
         for batch in batches:
@@ -570,7 +697,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, k: int = CLA
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return ready.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return model.ready.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 ship(__name__)

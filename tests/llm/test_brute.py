@@ -641,6 +641,76 @@ def test_brown_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) * 0.95
 
 
+def test_brown_scores_by_definition(spark, make_docs):
+    """Every score from the words' classes, token by token, by the smoothing that the module's docstring states."""
+    import xxhash
+
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(vocab, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 30))) + f" once{i}" for i in range(80)] + ["", None, "W0 w0\tw1 never-seen"]
+    docs, k = make_docs(list(enumerate(texts))), 4
+    rows = {r["doc_id"]: r for r in brown.score_documents(docs, k=k, frequent=10, passes=2).collect()}
+    model = brown.learned(docs, 7, 2, k, 10, 2, 1)
+    classes = {}
+    for r in model.words.collect():
+        classes |= dict(zip(np.frombuffer(r["h"], np.uint64).tolist(), r["y"], strict=True))
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
+    words = {i: (t or "").lower().split() for i, t in enumerate(texts)}
+    n = collections.Counter(w for i, x in words.items() if not held[i] for w in x)
+    cls = {w: classes[xxhash.xxh3_64_intdigest(w.encode())] for w in n}
+    assert len(cls) == len(classes) and len(set(cls.values())) == k
+    of_class = collections.Counter()
+    for w, times in n.items():
+        of_class[cls[w]] += times
+    pairs, new_after, after, ends = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for i, x in words.items():
+        if not held[i]:
+            for v, w in zip([None, *x], [*x, None], strict=True):
+                target = "end" if w is None else cls[w]
+                ends[target] += 1
+                for hist in ["start" if v is None else cls[v]] + (["unseen"] if n[v] == 1 else []):
+                    pairs[hist, target] += 1
+                    after[hist] += 1
+                    new_after[hist] += n[w] == 1
+    total = sum(ends.values())
+    share = sum(new_after[h] for h in after if h != "unseen") / total
+    prior = {t: (ends[t] + 1) / (total + k + 1) for t in [*range(k), "end"]}
+    unseen = lambda h: min(max((new_after[h] + 5 * share) / (after[h] + 5), 1 / (total + 2)), 0.9)
+    for i, x in words.items():
+        score, h = 0.0, "start"
+        for w in [*x, None]:
+            t = "end" if w is None else cls.get(w, "unseen")
+            if t == "unseen":
+                score += math.log10(unseen(h))
+            else:
+                score += math.log10((1 - unseen(h)) * (pairs[h, t] + 5 * prior[t]) / (after[h] + 5))
+                score += 0 if w is None else math.log10(n[w] / of_class[t])
+            h = t
+        assert rows[i]["score"] == pytest.approx(score), i
+
+
+def test_exchange_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(3)
+    k, wide, words = 5, 8, 6
+    own = np.array([0, 1, 2, 0, 1, 2])
+    word = np.sort(rng.integers(0, words, 400))
+    prev, nxt = rng.integers(3, 5, 400).astype(np.uint8), rng.integers(3, 5, 400).astype(np.uint8)
+    base = rng.integers(0, 30, (wide, wide))
+
+    def matrix(classes):
+        n = base.copy()
+        np.add.at(n, (prev, classes[word]), 1)
+        np.add.at(n, (classes[word], nxt), 1)
+        return n
+
+    gain = brown.exchange_gains(prev, nxt, word, own, matrix(own), k)
+    for w in range(words):
+        for b in range(3):
+            moved = own.copy()
+            moved[w] = b
+            assert gain[w, b] - gain[w, own[w]] == pytest.approx(brown.likelihood(matrix(moved)) - brown.likelihood(matrix(own)), abs=1e-6)
+
+
 def test_exchange_finds_classes(make_docs):
     """Words that stand in the same places share a class, and the scores of all words after a history sum to 1."""
     rng = random.Random(11)
