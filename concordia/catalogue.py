@@ -21,7 +21,7 @@ from concordia.operators.keys import cell_class, detect_key, name_excluded, prof
 from concordia.operators.pairing import pair_rows
 from concordia.options import Options
 from concordia.plans.reconcile import Reconciliation, reconcile
-from concordia.sources.lines import errant_quotes, expand_row_text, line_delimiter_column
+from concordia.sources.lines import errant_quotes, expand_row_text, file_delimiters, line_delimiter_column
 from concordia.staging import shared_folder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -485,6 +485,31 @@ def column_profile(spark, sf_dir):
     return profile(df, [c for c in df.columns if c != "rid"], "rid").select("column_name", "n_rows", "non_null", "n_unique")
 
 
+RANKED_SQL = """with p as (select row_number() over (order by p_partkey) as r, cast(p_partkey as varchar) as P_PARTKEY, p_brand as P_BRAND, p_type as P_TYPE, cast(p_size as varchar) as P_SIZE,
+  case when p_size % 3 = 0 then p_brand end as P_CODE from part),
+u as (select 0 as col, r, 'P_PARTKEY' as column_name, P_PARTKEY as v from p union all select 1, r, 'P_BRAND', P_BRAND from p union all select 2, r, 'P_TYPE', P_TYPE from p
+  union all select 3, r, 'P_SIZE', P_SIZE from p union all select 4, r, 'P_CODE', P_CODE from p),
+k as (select col, case when v in ('0', '1') then 'b' when regexp_matches(v, '^[0-9]+$') then 'i' when regexp_matches(v, '^[A-Za-z0-9_-]+$') and regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') then 'n'
+  when regexp_matches(v, '^[A-Za-z_-]+$') and length(v) <= 20 then 'a' else 't' end as k, row_number() over (partition by col order by r) as i from u where v is not null),
+s as (select col, count(*) as m, count(*) filter (k = 'b') as b, count(*) filter (k = 'i') as i, count(*) filter (k = 'n') as n, count(*) filter (k = 'a') as a, count(*) filter (k = 't') as t from k where i <= 50 group by col),
+d as (select col, column_name, count(*) as n_rows, count(v) as filled, count(distinct v) as n_unique from u group by all),
+c as (select d.*, case when m is null then 'empty' when n / m > 0.5 then 'alphanumeric' when i / m > 0.5 then 'integer' when a / m > 0.5 then 'alphabetic_code' when b / m > 0.3 then 'boolean' when t / m > 0.5 then 'text' else 'mixed' end as col_type from d left join s using (col)),
+e as (select *, case col_type when 'empty' then -100 when 'alphanumeric' then 150 when 'integer' then 140 when 'alphabetic_code' then 80 when 'boolean' then -100 when 'text' then -30 else 0 end + n_unique / n_rows * 50 + filled / n_rows * 30
+  - case when n_unique < 10 then 80 else 0 end - case when filled / n_rows < 0.5 then 50 else 0 end as p from c)
+select column_name, col_type, round(p, 6) as priority, cast(row_number() over (order by p desc, col) as int) as place from e"""
+
+
+@query(RANKED_SQL)
+def column_ranking(spark, sf_dir):
+    """Class, priority and rank of every column, from its first fifty cells and its counts."""
+    from pyspark.sql import Window
+
+    df = _part_text(spark, sf_dir)
+    found = profile(df, [c for c in df.columns if c != "rid"], "rid")
+    place = F.row_number().over(Window.orderBy(F.desc("priority"), "col"))  # a row per column
+    return found.select("column_name", "col_type", F.round("priority", 6).alias("priority"), place.alias("place"))
+
+
 CLASS_CELLS = ["'yes'", "'0'", "'2024-01-02 03:04:05'", "'2024-01-02'", "'load.csv'", "'x_20240102_y.z'", KEY, "'-12'", "'3.50'", f"concat('AB-', {KEY})", "'ABC_x'", "'two words'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'#1'"]
 
 
@@ -581,3 +606,89 @@ def delimited_rows(spark, sf_dir):
     head = spark.createDataFrame([(0, "c_custkey|c_name|c_mktsegment")], "o int, value string")
     head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
     return read_delimited(spark, path)
+
+
+def _written(spark, sf_dir: str, label: str, lines: DataFrame) -> str:
+    """The path of a one-file folder with *lines* (o, n, value) by o and n."""
+    path = f"{shared_folder(spark)}/concordia/{label}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    lines.coalesce(1).sortWithinPartitions("o", "n").select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def _file(spark, sf_dir: str, label: str, header: str, name: str, key: str, line) -> DataFrame:
+    """A file of a header and a line for each row of a table, read back."""
+    from concordia.sources.delimited import read_delimited
+
+    body = table(spark, sf_dir, name).select(F.lit(1).alias("o"), F.col(key).alias("n"), line.alias("value"))
+    head = body.limit(1).select(F.lit(0).alias("o"), F.lit(0).cast(body.schema["n"].dataType).alias("n"), F.lit(header).alias("value"))
+    return read_delimited(spark, _written(spark, sf_dir, label, head.unionByName(body)))
+
+
+@query("select cast(c_custkey as varchar) as KEY, c_name as NAME from customer")
+def cleaned_lines_rows(spark, sf_dir):
+    """Lines wrapped in quotes as a whole, some of them and the header, are repaired."""
+    line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name")
+    return _file(spark, sf_dir, "wrapped", '"key|name"', "customer", "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"'), line, F.lit('"'))).otherwise(line))
+
+
+@query("select cast(c_custkey as varchar) as KEY, c_name as NAME from customer where c_custkey % 5 <> 0 or c_custkey = (select min(c_custkey) from customer)")
+def overwide_lines(spark, sf_dir):
+    """Lines with more cells than the header and the first line are left out."""
+    extra = F.when((F.col("c_custkey") % 5 == 0) & (F.col("c_custkey") > 1), F.lit("extra"))
+    return _file(spark, sf_dir, "overwide", "key|name", "customer", "c_custkey", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", extra))
+
+
+@query("""select cast(c_custkey as varchar) as KEY, case when c_custkey % 4 = 0 then c_name || chr(10) || chr(10) || 'two, "' || c_mktsegment || '"' else c_name end as NOTE from customer""")
+def multiline_cells(spark, sf_dir):
+    """Quoted cells that run over several lines."""
+    name = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit('"'), "c_name", F.lit('\n\ntwo, ""'), "c_mktsegment", F.lit('"""'))).otherwise(F.col("c_name"))
+    return _file(spark, sf_dir, "multiline", "key,note", "customer", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), name))
+
+
+@query("select * from (values ('agree', '|', '|'), ('differ', ',', ';'), ('header only', '~', '~'), ('nothing', ',', ','), ('plain data', ';', ';')) t(file, header, data)")
+def file_vote(spark, sf_dir):
+    """Delimiters of header and data over the lines of small files."""
+    files = {"agree": ["a|b", "1|2,3", "4|5"], "differ": ["a,b", "1;2", "3;4,5"], "header only": ["a~b"], "nothing": [], "plain data": ["a;b", "x", "y"]}
+    return spark.createDataFrame([(k, *file_delimiters(v)) for k, v in files.items()], "file string, header string, data string")
+
+
+@query("select * from (values ('/in/acct_20240101_120000.csv', 'acct'), ('acct_main.csv', 'acct_main'), ('a_1_b.csv', 'a_1_b'), ('x_1_2.tar.gz', 'x_1_2.tar')) t(path, table_name)")
+def table_names(spark, sf_dir):
+    from concordia.cli import table_name
+
+    paths = ["/in/acct_20240101_120000.csv", "acct_main.csv", "a_1_b.csv", "x_1_2.tar.gz"]
+    return spark.createDataFrame([(p, table_name(p)) for p in paths], "path string, table_name string")
+
+
+def _report_path(spark, sf_dir: str, label: str) -> str:
+    return f"{shared_folder(spark)}/concordia/{label}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}/report"
+
+
+@query(f"{DIFF_SQL} select * from diff")
+def report_csv_rows(spark, sf_dir):
+    """The report as one CSV file, read back."""
+    from concordia.sinks.report import write_report
+
+    r = orders_diff(spark, sf_dir)
+    files = write_report(r.report, _report_path(spark, sf_dir, "csv"), r.columns, "csv")
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(files[0])
+
+
+@query(f"""{DIFF_SQL}, n as (select count(*) as n from diff), f as (select 'report_part' || i || '.xlsx' as file, least(100, n - 100 * (i - 1)) as n_rows from n, range(1, 1000000) t(i) where 100 * (i - 1) < n)
+  select case when n <= 100 then 'report.xlsx' else file end as file, cast(n_rows as bigint) as n_rows from f, n""")
+def report_xlsx_parts(spark, sf_dir):
+    """The report as worksheets of 100 rows at most: the rows that each file has."""
+    from concordia.sinks.report import write_report
+
+    r = orders_diff(spark, sf_dir)
+    files = [f for f in write_report(r.report, _report_path(spark, sf_dir, "xlsx"), r.columns, "xlsx", rows=100) if f.endswith(".xlsx")]
+
+    def rows(content):
+        import io
+        import zipfile
+
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            return z.read("xl/worksheets/sheet1.xml").count(b"<row ") - 1
+
+    read = spark.read.format("binaryFile").load(files)
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.udf(rows, "long")("content").alias("n_rows"))

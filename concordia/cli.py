@@ -15,6 +15,7 @@ from concordia.options import Options
 from concordia.plans.reconcile import reconcile
 from concordia.sinks.report import write_report
 from concordia.sources.delimited import ORDER, read_delimited
+from concordia.staging import exists
 
 log = logging.getLogger("concordia")
 
@@ -47,20 +48,19 @@ def main(argv: list[str] | None = None) -> int:
     source = args.source or input("Source file: ").strip()
     target = args.target or input("Target file: ").strip()
     keys = args.keys or ([] if args.source and args.target else [k.strip() for k in input("Key columns (comma-separated, empty to detect): ").split(",") if k.strip()])
+    spark = SparkSession.builder.appName("concordia").getOrCreate()
     for path in (source, target):
-        if not os.path.exists(path):
+        if not exists(spark, path):
             print(f"Error: no such file: {path}", file=sys.stderr)
             return 1
-    spark = SparkSession.builder.appName("concordia").getOrCreate()
     options = Options(keys=tuple(keys) or None, normalise=not args.no_normalisation, decimal_precision=args.decimal_precision)
     try:
-        tables = [read_delimited(spark, os.path.abspath(p), args.esc_char).drop(ORDER) for p in (source, target)]
+        tables = [read_delimited(spark, p, args.esc_char).drop(ORDER) for p in (source, target)]
         result = reconcile(*tables, options)
     except (ValueError, OSError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
     folder = args.output_dir or "."
-    os.makedirs(folder, exist_ok=True)
     stem = os.path.join(folder, f"{table_name(source)}_discrepancy_report_{datetime.now():%Y%m%d_%H%M%S}")
     files = write_report(result.report, stem, result.columns, args.output_format)
     if result.only_source or result.only_target:

@@ -6,7 +6,7 @@ import logging
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +14,11 @@ from concordia.functions.rows import shortened
 from concordia.operators.align import ONCE, RID, as_text, common_columns, prepared, upper_names
 from concordia.operators.bag import hash_counts, residual
 from concordia.operators.cells import COLUMNS, cell_differences, missing_rows
-from concordia.operators.duplicates import count_mismatches, duplicate_rows
+from concordia.operators.duplicates import count_mismatches, duplicate_keys, duplicate_rows
 from concordia.operators.keys import detect_key
 from concordia.operators.pairing import pair_rows
 from concordia.options import Options
+from concordia.sources.delimited import read_delimited
 from concordia.staging import stage
 
 log = logging.getLogger(__name__)
@@ -69,9 +70,16 @@ class Reconciliation:
         log.info("key columns: %s", ", ".join(found))
         return found
 
+    @cached_property
+    def duplicate_target_keys(self) -> int:
+        """Keys that more than one unmatched target row has, so that pairing them is a choice."""
+        return duplicate_keys(self.target_residual, self.keys, ONCE).count()
+
     @cached_property
     def pairs(self) -> DataFrame:
         """s_rid, t_rid, is_fuzzy."""
+        if n := self.duplicate_target_keys:
+            log.warning("%d keys stand more than once in the unmatched target rows", n)
         return stage(pair_rows(self.source_residual, self.target_residual, self.keys, self.columns, self.options), "pairs")
 
     @cached_property
@@ -132,10 +140,21 @@ class Reconciliation:
         return reduce(DataFrame.crossJoin, parts)
 
 
-def reconcile(source: DataFrame, target: DataFrame, options: Options | None = None) -> Reconciliation:
-    """Compare two tables; nothing but staging the prepared tables runs before a part is asked for."""
+def loaded(table: DataFrame | str) -> DataFrame:
+    """A DataFrame as it is, a table by its name, a file or folder by its path: Parquet by its extension, else
+    delimited text."""
+    if isinstance(table, DataFrame):
+        return table
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if "/" not in table and spark.catalog.tableExists(table):
+        return spark.table(table)
+    return spark.read.parquet(table) if table.rstrip("/").endswith(".parquet") else read_delimited(spark, table)
+
+
+def reconcile(source: DataFrame | str, target: DataFrame | str, options: Options | None = None) -> Reconciliation:
+    """Compare two tables (see :func:`loaded`); nothing but staging the prepared tables runs before a part is asked for."""
     options = options or Options()
-    source, target = upper_names(source), upper_names(target)
+    source, target = upper_names(loaded(source)), upper_names(loaded(target))
     both, left, right = common_columns(source, target)
     if not both:
         raise ValueError("the tables have no column name in common")

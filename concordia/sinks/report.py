@@ -1,8 +1,12 @@
 """Report files: CSV, XLSX in parts, and the column reference.
 
 CSV is written by Spark.  A worksheet takes 1,048,575 rows and a header, so an XLSX report is cut in parts of
-that many rows, each written by one task from a stream of rows; no part is ever held in memory, and the number of
-a part's first row comes from counts per partition, not from a global window.
+that many rows, each made by one task from a stream of rows; no part is ever held in memory, and the number of
+a part's first row comes from counts per partition, not from a global window.  All files are written through Hadoop's
+file systems, so that a report's path may be on any of them.
+
+A worksheet's cell holds 32,767 characters and no control characters.  Rows with a cell that does not fit are in the
+worksheet as far as they go, and whole in a CSV file of the same columns beside it, ``_long_cells.csv``.
 """
 
 from __future__ import annotations
@@ -10,15 +14,16 @@ from __future__ import annotations
 import io
 import os
 import re
-import shutil
 import zipfile
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.operators.cells import COLUMNS
-from concordia.staging import stage
+from concordia.staging import discard, files_of, remove, stage, write_file
 
 SHEET_ROWS = 1_048_575
 WIDTHS = (20, 50, 25, 40, 40, 60, 60)
@@ -38,9 +43,28 @@ def _row(values, number: int, style: int) -> str:
     return f'<row r="{number}">{"".join(cells)}</row>'
 
 
-def write_xlsx(path: str, rows) -> int:
-    """Write *rows* (an iterable of tuples) as a formatted worksheet; returns their number."""
-    n = 0
+class _Outlet(io.RawIOBase):
+    """A stream that can only be written; what was written is taken out in chunks."""
+
+    def __init__(self):
+        self.held = bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.held += data
+        return len(data)
+
+    def taken(self) -> bytes:
+        out = bytes(self.held)
+        self.held.clear()
+        return out
+
+
+def xlsx_chunks(rows: Iterable[tuple], least: int = 1 << 20) -> Iterator[bytes]:
+    """The file of a formatted worksheet of *rows*, in chunks of about *least* bytes."""
+    n, outlet = 0, _Outlet()
     fixed = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
         '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
@@ -56,10 +80,10 @@ def write_xlsx(path: str, rows) -> int:
         "xl/styles.xml": f'<styleSheet {_NS}><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts>'
         '<fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
         '<fill><patternFill patternType="solid"><fgColor rgb="FF4472C4"/></patternFill></fill></fills><borders count="1"><border/></borders>'
-        '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf xfId="0"/><xf fontId="1" fillId="2" xfId="0" applyFont="1" applyFill="1"/></cellXfs></styleSheet>',
+        '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf xfId="0"/><xf fontId="1" fillId="2" xfId="0" applyFont="1" applyFill="1" applyAlignment="1"><alignment horizontal="center"/></xf></cellXfs></styleSheet>',
     }
     last = chr(64 + len(COLUMNS))
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(outlet, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in fixed.items():
             z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
         with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8") as f:
@@ -69,8 +93,10 @@ def write_xlsx(path: str, rows) -> int:
             f.write(_row(COLUMNS, 1, 1))
             for n, values in enumerate(rows, 1):
                 f.write(_row(values, n + 1, 0))
+                if len(outlet.held) >= least:
+                    yield outlet.taken()
             f.write(f'</sheetData><autoFilter ref="A1:{last}{n + 1}"/></worksheet>')
-    return n
+    yield outlet.taken()
 
 
 def numbered_parts(report: DataFrame, rows: int = SHEET_ROWS) -> DataFrame:
@@ -86,49 +112,56 @@ def numbered_parts(report: DataFrame, rows: int = SHEET_ROWS) -> DataFrame:
     return ordered.withColumn("part", F.floor((offset + F.expr("id & 8589934591")) / rows) + 1)
 
 
+def write_csv(rows: DataFrame, to: str) -> None:
+    """*rows* as one file with a header, in their order."""
+    spark, tmp = rows.sparkSession, f"{to}.parts"
+    how = rows.select(*COLUMNS).write.mode("overwrite").option("header", False).option("escape", '"')
+    how.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(tmp)
+    write_file(spark, to, [",".join(COLUMNS).encode() + b"\n"], files_of(spark, tmp))
+    remove(spark, tmp)
+
+
 def write_report(report: DataFrame, path: str, columns: list[str], kind: str = "xlsx", rows: int = SHEET_ROWS) -> list[str]:
     """Write a sorted report under *path* (its extension is set by *kind*); returns the files.
 
     An empty report is a file with a header only, and has no column reference.
     """
-    base = os.path.splitext(path)[0]
+    if kind not in ("csv", "xlsx"):
+        raise ValueError(f"unknown report format {kind}")
+    base, spark = os.path.splitext(path)[0], report.sparkSession
     empty = not report.take(1)
     if kind == "csv":
-        to = f"{base}.csv"
-        tmp = f"{base}.csv.parts"
-        if empty:
-            with open(to, "w", encoding="utf-8") as f:
-                f.write(",".join(COLUMNS) + "\n")
-            return [to]
-        report.select(*COLUMNS).write.mode("overwrite").option("header", False).option("escape", '"').option("emptyValue", "").csv(tmp)
-        with open(to, "w", encoding="utf-8", newline="") as f:
-            f.write(",".join(COLUMNS) + "\n")
-            for name in sorted(x for x in os.listdir(tmp) if x.startswith("part-")):
-                with open(os.path.join(tmp, name), encoding="utf-8", newline="") as g:
-                    shutil.copyfileobj(g, f)
-        shutil.rmtree(tmp)
-        files = [to]
-    elif kind == "xlsx":
-        if empty:
-            write_xlsx(f"{base}.xlsx", ())
-            return [f"{base}.xlsx"]
+        files = [f"{base}.csv"]
+        write_csv(report.limit(0) if empty else report, files[0])
+    elif empty:
+        files = [f"{base}.xlsx"]
+        write_file(spark, files[0], xlsx_chunks(()))
+    else:
         parts = numbered_parts(report, rows)
-        names = {r["part"] for r in parts.select("part").distinct().collect()}
-        name = (lambda p: f"{base}.xlsx") if len(names) == 1 else (lambda p: f"{base}_part{p}.xlsx")
+        many = sorted(r["part"] for r in parts.select("part").distinct().collect())
 
         def each(batches):
             import itertools
 
+            import pandas as pd
+
             rest = (r for b in batches for r in zip(*(b[c] for c in ("part", *COLUMNS)), strict=True))
             for p, group in itertools.groupby(rest, key=lambda r: r[0]):
-                import pandas as pd
-
-                yield pd.DataFrame({"file": [name(p)], "n": [write_xlsx(name(p), (r[1:] for r in group))]})
-
-        dealt = parts.repartition(len(names), "part").sortWithinPartitions("part", "id").drop("id")
-        files = sorted(r["file"] for r in dealt.mapInPandas(each, "file string, n long").collect())
-    else:
-        raise ValueError(f"unknown report format {kind}")
-    with open(f"{base}_column_reference.txt", "w", encoding="utf-8") as f:
-        f.writelines(f"{i}: {c}\n" for i, c in enumerate(columns, 1))
-    return [*files, f"{base}_column_reference.txt"]
+                for i, chunk in enumerate(xlsx_chunks(r[1:] for r in group)):
+                    yield pd.DataFrame({"part": [p], "i": [i], "chunk": [chunk]})
+
+        dealt = parts.repartition(len(many), "part").sortWithinPartitions("part", "id").drop("id")
+        made = stage(dealt.mapInPandas(each, "part long, i long, chunk binary"), "sheets")
+        files = []
+        for p in many:
+            files.append(f"{base}.xlsx" if len(many) == 1 else f"{base}_part{p}.xlsx")
+            write_file(spark, files[-1], (bytes(r["chunk"]) for r in made.where(F.col("part") == p).orderBy("i").select("chunk").toLocalIterator()))
+        discard(made)
+        unfit = reduce(lambda a, b: a | b, [(F.length(c) > CELL_CHARS) | F.col(c).rlike(_BAD.pattern) for c in COLUMNS])
+        if (left := parts.where(unfit)).take(1):
+            files.append(f"{base}_long_cells.csv")
+            write_csv(left.orderBy("id"), files[-1])
+    if not empty:
+        files.append(f"{base}_column_reference.txt")
+        write_file(spark, files[-1], ["".join(f"{i}: {c}\n" for i, c in enumerate(columns, 1)).encode()])
+    return files

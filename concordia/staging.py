@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterable
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -50,10 +52,45 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of *path*, local ones without checksum files, and the path in it."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    checked = is_instance_of(spark.sparkContext._gateway, fs, "org.apache.hadoop.fs.ChecksumFileSystem")
+    return (fs.getRawFileSystem() if checked else fs), to
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+    fs, to = file_system(spark, path)
+    fs.delete(to, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, to = file_system(spark, path)
+    return fs.exists(to)
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder in order of name, or the file itself."""
+    fs, to = file_system(spark, path)
+    found = sorted(str(f.getPath()) for f in fs.listStatus(to) if f.isFile())
+    return [f for f in found if f.rsplit("/", 1)[-1][0] not in "._"]
+
+
+def write_file(spark: SparkSession, path: str, chunks: Iterable[bytes], parts: Iterable[str] = ()) -> None:
+    """One file of *chunks* and then of the files *parts*, which the driver's JVM copies as streams."""
+    fs, to = file_system(spark, path)
+    out = fs.create(to, True)
+    try:
+        for chunk in chunks:
+            out.write(chunk)
+        for part in parts:
+            source = file_system(spark, part)
+            stream = source[0].open(source[1])
+            spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    finally:
+        out.close()
 
 
 def discard(df: DataFrame) -> None:

@@ -71,3 +71,26 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "empty.csv").write_text("")
     assert main([str(tmp_path / "empty.csv"), str(tmp_path / "t.csv")]) == 1
     assert "no such file" in capsys.readouterr().err
+
+
+def test_long_cells_are_whole_beside_the_worksheet(text_table, tmp_path):
+    long = "x" * 40_000
+    r = reconcile(text_table("K|V", [("a", long), ("b", "1\x01"), ("c", "1")]), text_table("K|V", [("a", "w"), ("b", "w"), ("c", "w")]), Options(keys=("K",)))
+    files = write_report(r.report, str(tmp_path / "l"), r.columns, "xlsx")
+    assert [f.rsplit("/", 1)[-1] for f in files] == ["l.xlsx", "l_long_cells.csv", "l_column_reference.txt"]
+    with open(files[1], newline="") as f:
+        rows = list(csv.reader(f))
+    assert [x[1] for x in rows[1:]] == ["K=a", "K=b"] and rows[1][3] == long and rows[2][3] == "1\x01"
+    assert "x" * 32_767 in sheet(files[0]) and "x" * 32_768 not in sheet(files[0])
+    assert not list(tmp_path.glob(".*")) and not list(tmp_path.glob("*.parts"))
+
+
+def test_tables_by_name_and_path(spark, text_table, tmp_path, caplog):
+    (tmp_path / "a.csv").write_text("k,v\nq1,1\nq2,2\n")
+    text_table("K|V", [("q1", "1"), ("q2", "3"), ("q2", "4")]).createOrReplaceTempView("told")
+    r = reconcile(str(tmp_path / "a.csv"), "told", Options(keys=("K",)))
+    with caplog.at_level("WARNING"):
+        assert [tuple(x)[:3] for x in r.mismatches.collect()] == [("VALUE_MISMATCH", "K=q2", "V")]
+    assert r.duplicate_target_keys == 1 and "1 keys stand more than once" in caplog.text
+    text_table("K|V", [("x", "1")]).write.parquet(str(tmp_path / "p.parquet"))
+    assert reconcile(str(tmp_path / "p.parquet"), text_table("K|V", [("x", "1")])).settled

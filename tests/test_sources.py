@@ -88,3 +88,45 @@ def test_empty_and_colliding(spark, tmp_path):
 
 def test_invalid_bytes(spark, tmp_path):
     assert read(spark, tmp_path, b"a|b\n\xff1|2\n")[1] == [("�1", "2")]
+
+
+OPEN = {'a,"b': True, 'a,"b"': False, 'a,b"c': False, '"a""': True, '"a"",b': True, '"a""",b': False, 'a, "b': True, 'x"y,"z': True, "": False, 'a,"b"c,"d': True}
+
+
+def test_ends_open():
+    from concordia.sources.delimited import ends_open
+
+    assert {k: ends_open(k, ",") for k in OPEN} == OPEN
+    assert ends_open('still,"', ",", opened=True) is False and ends_open("still", ",", opened=True) is True
+    assert ends_open('a,"b\\"', ",", "\\") is True
+
+
+def test_cells_over_several_lines(spark, tmp_path):
+    text = 'id,note\n1,"one\n\ntwo, ""2"""\n2,plain\n3,"x\ny"\n'
+    assert read(spark, tmp_path, text) == (["ID", "NOTE"], [("1", 'one\n\ntwo, "2"'), ("2", "plain"), ("3", "x\ny")])
+    assert read(spark, tmp_path, text.replace("\n", "\r\n"))[1][2] == ("3", "x\ny")
+    with pytest.raises(ValueError, match="still open"):
+        read(spark, tmp_path, 'id,note\n1,"one\n2,two\n')
+
+
+def test_records_over_parts_of_a_file(spark, tmp_path):
+    """Parts that begin inside a cell, end inside one, or lie within one, against the standard reader."""
+    import csv
+    import random
+
+    rng = random.Random(5)
+    rows = [[str(i), rng.choice(["a", 'b "q", c', "l1\nl2", "long\n" * rng.randint(1, 60), ""])] for i in range(300)]
+    path = tmp_path / "many.csv"
+    with open(path, "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", "note"], *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = [[r["ID"], r["NOTE"]] for r in read_delimited(spark, str(path), keep_order=True).orderBy("__c_line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == rows
+
+
+def test_the_header_is_repaired_with_the_data_only(spark, tmp_path):
+    assert read(spark, tmp_path, '"a|b"\n1|2\n')[0] == ["A|B"]
+    assert read(spark, tmp_path, '"a|b"\r\n1|2\r\n') == (["A", "B"], [("1", "2")])
