@@ -6,7 +6,7 @@ to partitions, each packed by best-fit decreasing.  Dual feasible functions give
 lower bound on its sequences: a partition that meets its bound is certified and final.  Partitions
 with a gap keep their full sequences and exchange the documents of the rest: these are dealt anew, to
 as many partitions as they fill, and packed again, until all are certified, one partition holds what is
-left, or the last round has run.  No partition ever gets more than about ``per_partition`` rows.
+left, or a round leaves as many documents open as it got.  No partition ever gets more than about ``per_partition`` rows.
 
 Defined results: a null text is an empty text and packs as its end id alone; repeated rows are packed
 each on their own; an empty table packs to nothing; texts of any length are tokenized whole.
@@ -159,7 +159,7 @@ def _packed(room: int, level: int, last: bool):
         lengths = table.column("length").to_pylist()
         bins, offsets, used = best_fit_decreasing(lengths, room)
         gap = len(used) - lower_bound(lengths, room)
-        mine = (level << 56) | (TaskContext.get().partitionId() << 32)
+        mine = (level << 46) | (TaskContext.get().partitionId() << 20)  # below the ids of full pieces
         again = not last and gap > 0
         table = table.select(names[:5])
         table = table.append_column("sequence_id", pa.array([mine + b for b in bins], pa.int64()))
@@ -170,7 +170,7 @@ def _packed(room: int, level: int, last: bool):
     return run
 
 
-def pack(pieces: DataFrame, room: int = 1024, per_partition: int = 60_000, rounds: int = 4, label: str = "pack") -> DataFrame:
+def pack(pieces: DataFrame, room: int = 1024, per_partition: int = 60_000, label: str = "pack") -> DataFrame:
     """Place *pieces* (``tokenized_pieces``) in sequences: adds ``sequence_id`` and ``offset``."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -180,12 +180,15 @@ def pack(pieces: DataFrame, room: int = 1024, per_partition: int = 60_000, round
     level, parts = 1, max(1, -(-left // per_partition))
     while left:
         out = pool.repartition(parts).mapInArrow(
-            _packed(room, level, parts == 1 or level == rounds), PIECE.format(kind) + ", sequence_id long, offset long, open boolean"
+            _packed(room, level, parts == 1), PIECE.format(kind) + ", sequence_id long, offset long, open boolean"
         )
         out = stage(out, f"{label}-{level}")
+        before, left = left, out.where("open").count() if parts > 1 else 0
+        if left == before:  # nothing closed: what each partition has stays as it is
+            done.append(out.select(*names))
+            break
         done.append(out.where("not open").select(*names))
         pool = out.where("open").select(*names[:5])
-        left = pool.count() if parts > 1 and level < rounds else 0
         parts = max(1, -(-left // per_partition))
         level += 1
     result = done[0]

@@ -526,6 +526,21 @@ def test_packing(make_docs):
     assert len(by_seq) <= least * 1.02 + 2
 
 
+def test_packing_goes_on_until_no_document_closes(spark):
+    """Small partitions with gaps: repacked for as long as rounds close documents, every piece once in the end.  A certified
+    partition meets its own bound, which is less than one sequence above its share of the bound of all."""
+    rng = random.Random(9)
+    rows = [(i, 0, 0, rng.randint(1, 700), 0, None) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, packing.PIECE.format("long") + ", sequence_id long")
+    got = packing.pack(pieces, 1024, per_partition=50).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(2000))
+    used = collections.Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 1024 and max(used) < 1 << 62
+    assert len(used) <= packing.lower_bound([r[3] for r in rows], 1024) + 2000 // 50
+
+
 def test_bounds_and_best_fit():
     rng = random.Random(8)
 
