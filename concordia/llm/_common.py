@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.staging import discard, fresh_folder, shared_folder, stage
 
-__all__ = ["WORD", "components", "discard", "fresh_folder", "release", "shared_folder", "ship", "spread_join", "stage", "uniform_bucket"]
+__all__ = ["WORD", "components", "discard", "fresh_folder", "release", "shared_folder", "ship", "spread_join", "stage", "tidy", "uniform_bucket"]
 
 #: Words as every contract here defines them: runs without space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +38,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run):
+    """*run*, a function for ``mapInArrow``, that gives the memory it freed back to the system when its task ends.
+
+    Spark keeps Python workers for the next stages.  Arrow's pool and malloc keep what was freed, so that an idle
+    worker would hold the peak of an earlier stage beside the JVM's.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc has it, musl does not
+            trim(0)
+
+    return tidied
+
+
 def uniform_bucket(key, buckets):
     """Range of a uniform 64-bit hash among *buckets* equal ranges (order-preserving in the unsigned hash)."""
     return F.floor(F.shiftrightunsigned(key, 1).cast("double") / F.lit(float(2**63)) * buckets).cast("long")

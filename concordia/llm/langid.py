@@ -17,6 +17,7 @@ score 0; ties go to the language that is smallest by code points; repeated rows
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.llm._common import ship
+from concordia.llm._common import ship, tidy
 
 SIZES = (3, 4)
 #: Texts are worked on in parts of about so many characters: arrays of a part fit a worker's cache and memory.
 PART_CHARS = 400_000
+#: Predictions hold some twenty arrays of a part at once.
+PREDICT_CHARS = 100_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -138,7 +141,7 @@ def fit_filters(
                         ["lang", "gram", "n"],
                     )
 
-    df = sample.mapInArrow(seen, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    df = sample.mapInArrow(tidy(seen), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # by each language's own rows: one of few rows keeps all its n-grams, however large the others are
     needed = lambda n: 1.0 if n < 50 else max(2.0, least_share * min(n, sample_rows))
     least = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(needed(r["count"])))])
@@ -183,16 +186,16 @@ def predict(filters: Filters, texts: list[str | None]) -> tuple[list[str], list[
     return names, [s if x != "und" else 0.0 for s, x in zip(score.tolist(), names, strict=True)]
 
 
-def _in_parts(filters: Filters, texts: list[str | None], most: int = PART_CHARS) -> tuple[list[str], list[float]]:
+def _in_parts(filters: Filters, texts: Iterable[str | None], most: int = PREDICT_CHARS) -> tuple[list[str], list[float]]:
     names, scores, part, size = [], [], [], 0
-    for t in [*texts, None]:
+    for t in texts:
         if part and size + len(t or "") > most:
             a, b = predict(filters, part)
             names, scores, part, size = names + a, scores + b, [], 0
         part.append(t)
         size += len(t or "")
     a, b = predict(filters, part)
-    return (names + a)[: len(texts)], (scores + b)[: len(texts)]
+    return names + a, scores + b
 
 
 def identify(df: DataFrame, filters: Filters, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "lang_score") -> DataFrame:
@@ -205,12 +208,12 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text", lang_as: s
 
     def run(batches):
         for batch in batches:
-            lang, score = _in_parts(model.value, batch.column(at).to_pylist())
+            lang, score = _in_parts(model.value, (x.as_py() for x in batch.column(at)))
             arrays = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*names, lang_as, score_as])
 
     schema = T.StructType([*df.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def in_learned_language(df: DataFrame, filters: Filters, least_score: float, text_col: str = "text") -> DataFrame:
@@ -220,10 +223,10 @@ def in_learned_language(df: DataFrame, filters: Filters, least_score: float, tex
 
     def run(batches):
         for batch in batches:
-            lang, score = _in_parts(model.value, batch.column(at).to_pylist())
+            lang, score = _in_parts(model.value, (x.as_py() for x in batch.column(at)))
             yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def detect_languages(df: DataFrame, learn: DataFrame | None = None, **fit) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import LEAST_HOT, components, ship, spread_join, stage
+from concordia.llm._common import LEAST_HOT, components, ship, spread_join, stage, tidy
 
 BANDS, ROWS = 32, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -50,7 +50,7 @@ def shingle_hashes(text: str | bytes | None, k: int, memo: dict[bytes, int]) ->
     for w in set(words).difference(memo):
         memo[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    if len(memo) > 400_000:
+    if len(memo) > 100_000:
         memo.clear()
     m = max(1, len(words) - k + 1)
     out = np.full(m, min(k, len(words)), np.uint64)
@@ -92,8 +92,8 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, ke
         memo: dict[bytes, int] = {}
         for batch in batches:
             n, s1, s2, keys = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_hashes(text, k, memo)
+            for text in batch.column(2):
+                s = shingle_hashes(text.as_py(), k, memo)
                 n.append(len(s))
                 if len(s):
                     d = xxhash.xxh3_128(s.tobytes()).intdigest()
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, ke
                 ["doc_id", "th", "n_shingles", "s1", "s2", "bands"],
             )
 
-    return src.mapInArrow(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return src.mapInArrow(tidy(run), "doc_id long, th long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -121,10 +121,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches):
         memo: dict[bytes, int] = {}
         for batch in batches:
-            sets = [shingle_hashes(t, k, memo).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingle_hashes(t.as_py(), k, memo).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
-    return rows.mapInArrow(run, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    return rows.mapInArrow(tidy(run), "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,7 +147,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"]
             )
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,7 +166,7 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 cid = np.repeat(cids[at : at + 200], [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.concatenate(found))], ["cid", "shingle"])
 
-    flat = stage(sets.mapInArrow(run, "cid long, shingle long"), "shingles")
+    flat = stage(sets.mapInArrow(tidy(run), "cid long, shingle long"), "shingles")
     shared = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = spread_join(flat, shared.withColumn("rows", F.col("n")), ["shingle"], "rows", flat.count())
     own = held.groupBy("cid").agg(F.count(F.lit(1)).alias("n_shared"))

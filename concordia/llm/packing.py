@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from functools import cached_property
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import ship, stage
+from concordia.llm._common import ship, stage, tidy
 
 PIECE = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
@@ -43,20 +44,26 @@ class Encoder:
     The merges of such a file are in order of rank, so tiktoken's byte-pair engine, which is several
     times as fast, gives the same ids from the vocabulary as ranks; `tests/llm` holds the two
     against each other.  Texts with the string of an added token go through the file's own library,
-    which reads it as that token.
+    which reads it as that token and is loaded at the first of them: a second vocabulary in the memory of
+    every worker, which few tables need.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         self.added = [t["content"] for t in spec["added_tokens"]]
         table = byte_alphabet()
         ranks = {bytes(table[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
         if any(t in text for t in self.added):
@@ -83,8 +90,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, room: int, end_id: int, te
         own = (1 << 62) | (TaskContext.get().partitionId() << 36)
         for batch in batches:
             docs_, out = [], [[], [], [], [], []]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, start, length, crc in pieces_of([*encoder.ids(text or ""), end_id], room):
+            for i, text in enumerate(batch.column(1)):  # one text at a time as a Python string
+                for k, start, length, crc in pieces_of([*encoder.ids(text.as_py() or ""), end_id], room):
                     docs_.append(i)
                     made += 1
                     for x, v in zip(out, (k, start, length, crc, own + made if length == room else None), strict=True):
@@ -94,7 +101,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, room: int, end_id: int, te
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id"],
             )
 
-    return src.mapInArrow(run, PIECE.format(kind) + ", sequence_id long")
+    return src.mapInArrow(tidy(run), PIECE.format(kind) + ", sequence_id long")
 
 
 def lower_bound(lengths: list[int], room: int) -> int:
@@ -167,7 +174,7 @@ def _packed(room: int, level: int, last: bool):
         table = table.append_column("open", pa.array([again and used[b] < room for b in bins], pa.bool_()))
         yield from table.to_batches(max_chunksize=50_000)
 
-    return run
+    return tidy(run)
 
 
 def pack(pieces: DataFrame, room: int = 1024, per_partition: int = 60_000, label: str = "pack") -> DataFrame:

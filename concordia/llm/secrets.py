@@ -16,10 +16,11 @@ import math
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import ship
+from concordia.llm._common import ship, tidy
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters")
 ASSIGN = re.compile(
@@ -201,19 +202,19 @@ def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None
     def rewrite(batches):
         for batch in batches:
             arrays = list(batch.columns)
-            texts = arrays[at].to_pylist()
             new = {}
-            for i, text in enumerate(texts):
+            for i, text in enumerate(x.as_py() for x in arrays[at]):
                 if text and (spans := all_spans(text)):
                     new[i] = masked(text, spans, mask)
             if new:
-                arrays[at] = pa.array([new.get(i, t) for i, t in enumerate(texts)], arrays[at].type)
+                changed = pa.array([i in new for i in range(len(batch))], pa.bool_())
+                arrays[at] = pc.replace_with_mask(arrays[at], changed, pa.array(list(new.values()), arrays[at].type))
                 if count is not None:
                     old = arrays[count].to_pylist()
                     arrays[count] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(old)], arrays[count].type)
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.mapInArrow(rewrite, df.schema)
+    return df.mapInArrow(tidy(rewrite), df.schema)
 
 
 ship(__name__)
