@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from concordia.functions.rows import composite_key, full_row
 from concordia.operators.align import HASH, RID, TWICE
+from concordia.staging import joined, stage
 
 
 def duplicate_groups(side: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """hash, n, and the key and row of the first of each group of equal rows (combined before the shuffle)."""
     cell = lambda c: F.col(f"{TWICE}.`{c}`")
-    row = F.struct(F.col(RID), composite_key(keys, [cell(c) for c in keys]).alias("key"), full_row([cell(c) for c in columns]).alias("row"))
     counts = side.groupBy(HASH).agg(F.count(F.lit(1)).alias("n"), F.min(RID).alias(RID)).where("n > 1")
-    return side.select(RID, row.alias("w")).join(counts, RID).select(HASH, "n", "w.key", "w.row")
+    first = joined(side.select(RID, TWICE), stage(counts, "duplicates"), RID)
+    return first.select(HASH, "n", composite_key(keys, [cell(c) for c in keys]).alias("key"), full_row([cell(c) for c in columns]).alias("row"))
 
 
 def duplicate_rows(side: DataFrame, keys: list[str], columns: list[str], label: str) -> DataFrame:

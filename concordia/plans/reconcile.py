@@ -44,13 +44,18 @@ class Reconciliation:
         """hash, ns, nt."""
         return hash_counts(self.source, self.target)
 
+    @cached_property
+    def unequal(self) -> DataFrame:
+        """The counts of hashes that the sides don't have equally often."""
+        return stage(self.counts.where("ns <> nt"), "counts")
+
     @cached_property
     def source_residual(self) -> DataFrame:
-        return stage(residual(self.source, self.counts, "ns", "nt"), "source-residual")
+        return stage(residual(self.source, self.unequal, "ns", "nt"), "source-residual")
 
     @cached_property
     def target_residual(self) -> DataFrame:
-        return stage(residual(self.target, self.counts, "nt", "ns"), "target-residual")
+        return stage(residual(self.target, self.unequal, "nt", "ns"), "target-residual")
 
     @cached_property
     def settled(self) -> bool:
@@ -84,7 +89,7 @@ class Reconciliation:
 
     @cached_property
     def count_mismatches(self) -> DataFrame:
-        return count_mismatches(self.counts)
+        return count_mismatches(self.unequal)
 
     def duplicates(self, label: str) -> DataFrame:
         """DUPLICATE_IN_SOURCE or DUPLICATE_IN_TARGET rows."""

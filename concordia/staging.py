@@ -10,7 +10,10 @@ from collections.abc import Iterable
 
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Most rows of a table that a join sends to every executor.
+FEW = 100_000
 _OWN: dict[str, str] = {}
 _USED: dict[str, SparkSession] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -52,6 +55,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def joined(rows: DataFrame, keyed: DataFrame, on: str | list[str]) -> DataFrame:
+    """*rows* joined with a staged table, which is broadcast if it has FEW rows at most, counted from its files.
+
+    The planner would go by the size of files: those of a sorted table are a hundredth of it, and it would send millions of
+    rows through the driver.
+    """
+    return rows.join(F.broadcast(keyed), on) if keyed.count() <= FEW else rows.hint("merge").join(keyed, on)
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system of *path*, local ones without checksum files, and the path in it."""
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
