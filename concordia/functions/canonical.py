@@ -3,7 +3,10 @@
 Rules, the first that holds: null tokens, booleans, timestamps, ISO dates, integers of any length, floats rounded
 to a number of decimals, and everything else as it is.  All of it is JVM expressions but one step: a float
 whose rounded text cannot be had by cutting digits (a half-way case, an exponent, more than 15
-significant digits) goes through a small Arrow UDF, which gets null for every other cell.
+significant digits) goes through a small pandas UDF, which gets null for every row without one.
+
+The rules as a whole are lambdas over arrays, which Spark interprets.  Nearly all cells are of a few plain shapes, whose
+form a short expression says (:func:`_plain`); it is compiled, and only cells of no plain shape go through the rules.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,14 @@ MOST_DIGITS = 4300
 
 #: Which rule a cell falls under.
 NULL, TRUTH, STAMPED, DATE, INTEGER, DECIMAL, EXACT, TEXT = range(8)
+#: What a cell of a plain shape becomes: itself, null, true, false, a number without outer zeros, a stamp without its fraction.
+SAME, NONE, YES, NO, CUT, FULL, HARD = range(7)
+#: Plain shapes, whole cells: whole numbers, stamps, texts that begin with a letter, texts with a letter that no number, stamp or date has.
+PLAIN_WHOLE, PLAIN_STAMP = r"^-?[1-9][0-9]*\z", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?\z"
+PLAIN_TEXT = r"(?s)^[A-HJ-MO-Za-hj-mo-z](.*[!-~])?\z"
+PLAIN_WORD = r"(?s)^(?=.*[b-dg-hj-mo-su-xzB-DG-HJ-MO-SU-XZ])[!-~](.*[!-~])?\z"
+#: Most columns whose cells are compiled one by one; wider tables keep one expression for all.
+NARROW = 16
 DIGITS, NOTATION = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)$"
 
 
@@ -46,9 +58,11 @@ def stripped(c: Column) -> Column:
     return F.when(plain(F.ascii(c)) & plain(F.ascii(F.substring(c, -1, 1))), c).otherwise(strip(c))
 
 
-def _rounded(places: int):
-    """Text of a number by exact arithmetic, once and canonicalised again, joined by a space."""
+def _exact(read: Column, places: int) -> Column:
+    """Array with, for each cell that needs exact arithmetic, its text once and canonicalised again, joined by a space.
 
+    The numbers of a row are one string, null for nearly all rows: nulls cost Python next to nothing.
+    """
     def once(text: str) -> str | None:
         try:
             if re.fullmatch(r"[+-]?\d+", text):
@@ -58,19 +72,19 @@ def _rounded(places: int):
         except ValueError:
             return None
 
-    def both(text):
-        if text is None:
-            return None
-        first = once(text)
+    def both(text: str) -> str:
+        first = once(text) if text else None
         if first is None:
-            return None
+            return ""
         second = "" if first == "nan" else once(first)
         return f"{first} {second}"
 
-    def row(cells):
-        return None if cells is None else [both(x) for x in cells]
+    def rows(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else "|".join(map(both, x.split("|"))) for x in column.array], dtype=object)
 
-    return F.udf(row, "array<string>", useArrow=True)
+    number = F.transform(_hard(read), lambda n: F.coalesce(n, F.lit("")))
+    answers = F.pandas_udf(rows, "string")(F.array_join(number, "|"))
+    return F.transform(F.split(answers, r"\|"), lambda x: F.nullif(x, F.lit("")))
 
 
 def _kind(v: Column, decimal_precision: int) -> Column:
@@ -147,26 +161,74 @@ def _skipped(c: Column) -> Column:
     return F.struct(kept.alias("once"), kept.alias("twice"))
 
 
-def with_canonical(
-    df: DataFrame, columns: list[str], out: str, normalise: bool = True, timestamp_precision: int | None = None, decimal_precision: int = 6, exact_floats: bool = True,
-) -> DataFrame:
-    """*df* with *out*, an array with a struct (once, twice) for each of *columns*.
+def _plain(c: Column, decimal_precision: int, timestamp_precision: int | None) -> Column:
+    """What becomes of a cell of a plain shape; HARD for all others, which the rules decide.  Agrees with :func:`_kind`."""
+    low, number = F.lower(c), c < ":"
+    kind = (
+        F.when(c.isNull() | (c == ""), NONE)
+        .when((F.octet_length(c) <= 5) & low.isin(*NULLS, *TRUE, *FALSE), F.when(low.isin(*TRUE), YES).when(low.isin(*FALSE), NO).otherwise(NONE))
+        .when((c == "0") | (number & c.rlike(PLAIN_WHOLE) & (F.octet_length(c) < MOST_DIGITS)), SAME)
+    )
+    if places := min(6, decimal_precision):
+        kind = kind.when(number & c.rlike(rf"^(-?[1-9][0-9]{{0,8}}|0)\.[0-9]{{1,{places}}}\z") & ~c.startswith("0.0000"), CUT)
+    if not timestamp_precision:
+        kind = kind.when(number & c.rlike(PLAIN_STAMP), FULL)
+    return kind.when((number & c.rlike(ISO[:-1] + r"\z")) | c.rlike(PLAIN_TEXT) | c.rlike(PLAIN_WORD), SAME).otherwise(HARD)
+
 
-    *once* is the canonical form of a cell and *twice* that of its canonical form.  They differ only for floats
-    (0.000000001 is 0.0, which is 0) and for timestamps that keep a fraction.  The cells of a row are one array and
-    each rule one expression over it, so that plans are as small for a thousand columns as for one; a row calls
-    Python only if one of its cells needs exact arithmetic.
+def _plain_form(c: Column, kind: Column) -> Column:
+    """The canonical form of a cell that is not HARD."""
+    return (
+        F.when(kind == SAME, c).when(kind == CUT, F.rtrim(F.rtrim(c, F.lit("0")), F.lit(".")))
+        .when(kind == FULL, F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 8))).when(kind == YES, F.lit("true")).when(kind == NO, F.lit("false"))
+    )
+
+
+def canonical_cells(
+    df: DataFrame, columns: list[str], normalise: bool = True, timestamp_precision: int | None = None, decimal_precision: int = 6, exact_floats: bool = True,
+) -> tuple[DataFrame, list[Column], list[Column]]:
+    """*df* with columns of its own, and of them the canonical form of each of *columns* and that of its canonical form.
+
+    The two differ only for floats (0.000000001 is 0.0, which is 0) and for timestamps that keep a fraction.  A row calls
+    the rules only if one of its cells has no plain shape, and Python only if one needs exact arithmetic.  The cells of a
+    table of more than NARROW columns are one array and each step one expression over it, so that plans stay small.
     """
-    cells = F.array(*[F.col(f"`{c}`") for c in columns])
+    cells, places = [F.col(f"`{c}`") for c in columns], range(len(columns))
     if not normalise:
-        return df.withColumn(out, F.transform(cells, _skipped))
-    keep = df.columns
-    df = df.withColumn("__c_read", _read(cells, decimal_precision))
+        df = df.withColumn("__c_forms", F.transform(F.array(*cells), _skipped))
+        return df, [F.get("__c_forms", F.lit(i))["once"] for i in places], [F.get("__c_forms", F.lit(i))["twice"] for i in places]
+    plain, narrow, keep = lambda c: _plain(c, decimal_precision, timestamp_precision), len(columns) <= NARROW, [F.col(f"`{c}`") for c in df.columns]
+    # a projection with a lambda, whatever it does, is compiled in small methods; fused with its neighbours, it would be one
+    # method too large for the JIT
+    df = df.withColumns({"__c_kinds": F.array(*map(plain, cells)) if narrow else F.transform(F.array(*cells), plain), "__c_apart": F.transform(F.array(F.lit(1)), lambda x: x)})
+    kind = lambda i: F.get("__c_kinds", i)
+    left = F.transform(F.array(*cells), lambda c, i: F.when(kind(i) == HARD, c))
+    df = df.withColumn("__c_read", F.when(F.array_contains("__c_kinds", HARD) & (F.size("__c_apart") == 1), _read(left, decimal_precision)))
     exact = F.array().cast("array<string>")
     if exact_floats:
-        df = df.withColumn("__c_exact", _rounded(decimal_precision)(_hard(F.col("__c_read"))))
+        df = df.withColumn("__c_exact", _exact(F.col("__c_read"), decimal_precision))
         exact = F.col("__c_exact")
-    return df.select(*[F.col(f"`{c}`") for c in keep], _forms(F.col("__c_read"), exact, timestamp_precision).alias(out))
+    forms = F.when(F.col("__c_read").isNotNull(), _forms(F.col("__c_read"), exact, timestamp_precision))
+    easy = [_plain_form(cells[i], kind(F.lit(i))).alias(f"__c_easy{i}") for i in places] if narrow else []
+    df = df.select(*keep, "__c_kinds", forms.alias("__c_forms"), *easy)
+    if narrow:
+        pick = lambda i, field: F.when(kind(F.lit(i)) == HARD, F.get("__c_forms", F.lit(i))[field]).otherwise(F.col(f"__c_easy{i}"))
+        df = df.select(*keep, *[pick(i, f).alias(f"__c_{f}{i}") for f in ("once", "twice") for i in places])
+        return df, [F.col(f"__c_once{i}") for i in places], [F.col(f"__c_twice{i}") for i in places]
+
+    def chosen(c, i):
+        easy = _plain_form(c, kind(i))
+        return F.when(kind(i) == HARD, F.get("__c_forms", i)).otherwise(F.struct(easy.alias("once"), easy.alias("twice")))
+
+    df = df.select(*keep, F.transform(F.array(*cells), chosen).alias("__c_forms"))
+    return df, [F.get("__c_forms", F.lit(i))["once"] for i in places], [F.get("__c_forms", F.lit(i))["twice"] for i in places]
+
+
+def with_canonical(df: DataFrame, columns: list[str], out: str, **settings) -> DataFrame:
+    """*df* with *out*, an array with a struct (once, twice) for each of *columns*; see :func:`canonical_cells`."""
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    df, once, twice = canonical_cells(df, columns, **settings)
+    return df.select(*keep, F.array(*[F.struct(a.alias("once"), b.alias("twice")) for a, b in zip(once, twice, strict=True)]).alias(out))
 
 
 def canonical_pair(
@@ -176,7 +238,7 @@ def canonical_pair(
     if not normalise:
         return _skipped(c)
     read = _read(F.array(c), decimal_precision)
-    exact = _rounded(decimal_precision)(_hard(read)) if exact_floats else F.array().cast("array<string>")
+    exact = _exact(read, decimal_precision) if exact_floats else F.array().cast("array<string>")
     # a Python UDF may not stand inside a lambda
     return let(F.struct(read.alias("r"), exact.alias("x")), lambda v: F.get(_forms(v["r"], v["x"], timestamp_precision), F.lit(0)))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.functions.canonical import with_canonical
-from concordia.functions.rows import row_hash_of
+from concordia.functions.canonical import canonical_cells
+from concordia.functions.rows import row_hash
 from concordia.options import Options
 
 RID, HASH, ORIG, ONCE, TWICE = "__c_rid", "__c_hash", "__c_orig", "__c_once", "__c_twice"
@@ -67,7 +67,10 @@ def prepared(df: DataFrame, columns: list[str], options: Options) -> DataFrame:
     ``order_by``; the caller stages the result before it is used twice.
     """
     if options.order_by:
-        df = df.orderBy(*[c.upper() for c in options.order_by])
+        # not orderBy: rows that repeat shuffle to so few bytes that Spark would join all ranges to a few large tasks
+        order, spark = [f"`{c.upper()}`" for c in options.order_by], df.sparkSession
+        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        df = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     spread = few_partitions(df)
     df = df.select(*[F.col(f"`{c}`") for c in columns]).withColumn(RID, F.monotonically_increasing_id())
     if spread:  # a file of one row group is one task; the ids keep its order
@@ -76,9 +79,8 @@ def prepared(df: DataFrame, columns: list[str], options: Options) -> DataFrame:
         "normalise": options.normalise, "timestamp_precision": options.timestamp_precision,
         "decimal_precision": options.decimal_precision, "exact_floats": options.exact_floats,
     }
-    pairs = with_canonical(df, columns, "__c_pairs", **settings)
-    struct = lambda field: F.struct(*[F.get("__c_pairs", F.lit(i))[field].alias(c) for i, c in enumerate(columns)])
-    second = "twice" if options.strict_parity else "once"
-    hashed = F.transform("__c_pairs", lambda v: v[second])
+    df, once, twice = canonical_cells(df, columns, **settings)
+    struct = lambda cells: F.struct(*[x.alias(c) for x, c in zip(cells, columns, strict=True)])
+    second = twice if options.strict_parity else once
     original = F.struct(*[F.col(f"`{c}`") for c in columns])
-    return pairs.select(RID, row_hash_of(hashed).alias(HASH), original.alias(ORIG), struct("once").alias(ONCE), struct(second).alias(TWICE))
+    return df.select(RID, row_hash(second).alias(HASH), original.alias(ORIG), struct(once).alias(ONCE), struct(second).alias(TWICE))
