@@ -17,6 +17,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import groupby
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -146,16 +147,25 @@ def write_report(report: DataFrame, path: str, columns: list[str], kind: str = "
             import pandas as pd
 
             rest = (r for b in batches for r in zip(*(b[c] for c in ("part", *COLUMNS)), strict=True))
+            held, size = [], 0
             for p, group in itertools.groupby(rest, key=lambda r: r[0]):
                 for i, chunk in enumerate(xlsx_chunks(r[1:] for r in group)):
-                    yield pd.DataFrame({"part": [p], "i": [i], "chunk": [chunk]})
-
-        dealt = parts.repartition(len(many), "part").sortWithinPartitions("part", "id").drop("id")
+                    held.append((p, i, chunk))
+                    size += len(chunk)
+                    if size >= 1 << 20:  # small files go together, since a frame costs more than a file
+                        yield pd.DataFrame(held, columns=["part", "i", "chunk"])
+                        held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["part", "i", "chunk"])
+
+        tasks = min(len(many), max(4 * spark.sparkContext.defaultParallelism, len(many) * rows // SHEET_ROWS))
+        dealt = parts.repartition(tasks, "part").sortWithinPartitions("part", "id").drop("id")
         made = stage(dealt.mapInPandas(each, "part long, i long, chunk binary"), "sheets")
-        files = []
-        for p in many:
-            files.append(f"{base}.xlsx" if len(many) == 1 else f"{base}_part{p}.xlsx")
-            write_file(spark, files[-1], (bytes(r["chunk"]) for r in made.where(F.col("part") == p).orderBy("i").select("chunk").toLocalIterator()))
+        names = {p: f"{base}.xlsx" if len(many) == 1 else f"{base}_part{p}.xlsx" for p in many}
+        # one pass for all files, not a job for each: a file's chunks follow each other, and as many as a partition has are held
+        for p, chunks in groupby(made.orderBy("part", "i").toLocalIterator(), key=lambda r: r["part"]):
+            write_file(spark, names[p], (bytes(r["chunk"]) for r in chunks))
+        files = [names[p] for p in many]
         discard(made)
         unfit = reduce(lambda a, b: a | b, [(F.length(c) > CELL_CHARS) | F.col(c).rlike(_BAD.pattern) for c in COLUMNS])
         if (left := parts.where(unfit)).take(1):

@@ -67,3 +67,27 @@ def test_a_side_is_never_broadcast(spark, monkeypatch):
     assert "BuildRight" in plan()
     monkeypatch.setattr("concordia.staging.FEW", 0)
     assert "Broadcast" not in plan() and "SortMergeJoin" in plan()
+
+
+def test_worksheets_are_written_in_one_pass(spark, tmp_path):
+    """Thirty files take no job for each."""
+    from concordia.operators.cells import COLUMNS
+    from concordia.sinks.report import write_report
+
+    report = spark.range(295).select(*[F.format_string("%04d", "id").alias(c) for c in COLUMNS]).orderBy("composite_key")
+    spark.sparkContext.setJobGroup("worksheets", "worksheets")
+    try:
+        files = write_report(report, str(tmp_path / "report"), ["A"], "xlsx", rows=10)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("worksheets")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(files) == 31 and len(jobs) < 25
+    import zipfile
+
+    found = []
+    for f in files[:-1]:
+        with zipfile.ZipFile(f) as z:
+            found.append(z.read("xl/worksheets/sheet1.xml").decode())
+    for i, text in enumerate(found):
+        rows = [f"{j:04d}" for j in range(10 * i, min(295, 10 * i + 10))]
+        assert text.count("<row ") == len(rows) + 1 and all(f">{j}<" in text for j in rows)
